@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, tokens
+from . import decontaminate, neardup, quality, tokens
 
 QUERIES = {
+    "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_token_counts": tokens.op6_token_counts,
     "op8_quality": quality.op8_quality,
     "op9_sentencepiece": tokens.op9_sentencepiece,
