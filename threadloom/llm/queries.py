@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, neardup, quality, tokens
+from . import decontaminate, hilbert, lines, neardup, packing, quality, tokens
 
 QUERIES = {
+    "op2_hilbert_shards": hilbert.op2_hilbert_shards,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_line_dedup": lines.op10_line_dedup,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
     "op9_sentencepiece": tokens.op9_sentencepiece,
 }
