@@ -4,25 +4,44 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a new local folder."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not told and app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="threadloom-")
+    return told or _LOCAL[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, stored in the shared checkpoint folder, without lineage.
+    """The rows of df from a table written in the shared folder: no lineage, and it survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a new local folder
-    is taken.
+    Tables stay until `drop` or until the folder is cleared; a lazy result may still read them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by `cut` that no later result reads."""
+    for stored in tables:
+        context = stored.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, lines, neardup, packing, quality, tokens
+from . import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, tokens
 
 QUERIES = {
+    "op1_nearest": neighbours.op1_nearest,
     "op2_hilbert_shards": hilbert.op2_hilbert_shards,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_decontaminate": decontaminate.op5_decontaminate,
