@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, tokens
+from . import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, suffixes, tokens
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
     "op2_hilbert_shards": hilbert.op2_hilbert_shards,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_repeats": suffixes.op4_repeats,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_line_dedup": lines.op10_line_dedup,
     "op6_token_counts": tokens.op6_token_counts,
