@@ -1,7 +1,10 @@
-"""Queries by name."""
+"""Queries by name, and SQL for them."""
 
 from __future__ import annotations
 
+from .oracles import ORACLES
+from .queries import QUERIES
+
 FLAGSHIP = "graph_json"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
