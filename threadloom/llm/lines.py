@@ -5,11 +5,12 @@ of the corpus has the same text or a word set with Jaccard overlap of 0.8 or mor
 removed itself; the result so depends on no order of work.  Lines of fewer than five words stay as they are.
 
 1. Equal lines meet by a 128-bit hash, pre-aggregated; the earliest one goes on and is stored once.
-2. Word counts, over all distinct lines, in 2**16 hash slots give each word a rarity class; a line's words are ordered by
+2. Word counts, over all distinct lines, in 2**20 hash slots give each word a rarity class; a line's words are ordered by
    rarity class and hash, the rarest first.  Any common order makes the join exact; this one makes it cheap.
-3. Prefix filter: two lines with overlap 0.8 share a word among the first n - ceil(0.8 n) + 1 of each.  Prefix words
-   that only one line has are dropped after a count; what remains is small.
-4. Each line is first compared with the earliest line of each of its prefix words.  Lines for which that finds a match
+3. Prefix filter: two lines of n and m words with overlap 0.8 have o = ceil((n + m) 0.8 / 1.8) words in common, so they
+   share SHARE words (or o, if that is less) among the first n - o + SHARE of the one and m - o + SHARE of the other.
+   Positions are joined along and tested against these bounds, which depend on both lengths.
+4. Each line is first compared with the earliest line of several of its prefix words.  Lines for which that finds a match
    are decided.  For all others the prefix join takes every earlier line.  Length and positional filters apply to
    both; so a group of thousands of near-equal lines costs a few comparisons for each line, and no match is missed.
 5. Compared lines are verified on their words.
@@ -21,12 +22,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_shuffles, table
+from .common import cut, drop, free_shuffles, table
 
 #: Overlap of at least NUM / DEN.
 NUM, DEN = 4, 5
 FEW = 5
-SLOTS = 1 << 16
+SHARE = 2
+PASSES = 3
+SLOTS = 1 << 20
 #: Flags of the sketch that thins out the last scan, seven to a byte; about 1 MB whatever it is built from.
 FLAGS = 7 << 20
 
@@ -37,6 +40,16 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _places(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(at, line) of lines long enough; at, a long, is doc * 2**bits + line_no and so in the order of the corpus."""
+    top = docs.agg(F.max(F.size(F.split(text_col, "\n"))), F.max(F.abs(F.col(id_col).cast("long")))).first()
+    bits = int(max(top[0] or 1, 1)).bit_length()
+    if (top[1] or 0) >= 1 << (63 - bits):
+        raise ValueError(f"ids must be below 2**{63 - bits} in magnitude beside lines numbered up to {top[0]}")
+    lines = split_lines(docs, id_col, text_col).where(_long_enough("line"))
+    return lines.select((F.shiftleft("doc", bits) + F.col("line_no")).alias("at"), "line"), bits
+
+
 def _long_enough(line: str) -> Column:
     return F.size(F.split(line, " ", FEW)) == FEW
 
@@ -51,25 +64,26 @@ def _byte(table_: bytes, at: Column) -> Column:
 
 
 def _rarity(distinct: DataFrame) -> bytes:
-    """A class from 1 (rare) to 127 for each of 2**16 hash slots; counts over all lines, 65,536 rows to the driver."""
+    """A class from 1 (rare) to 127 for each of 2**20 hash slots: 1 MB, from counts over all lines."""
     slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    rows = distinct.select(F.explode(F.split("line", " ")).alias("word")).groupBy(slot.alias("slot")).count().collect()
-    counts = np.zeros(SLOTS)
-    for slot_, n in rows:
-        counts[slot_] = n
-    return (1 + np.minimum(126, np.floor(np.log2(1 + counts) * 2.5))).astype(np.uint8).tobytes()
+    words = distinct.select(F.explode(F.split("line", " ")).alias("word"))
+    level = F.least(F.lit(126), F.floor(F.log2(F.col("n").cast("double")) * 5)).cast("int")
+    found = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).select("slot", level.alias("level")).toArrow()
+    classes = np.ones(SLOTS, np.uint8)
+    classes[found["slot"].to_numpy()] += found["level"].to_numpy().astype(np.uint8)
+    return classes.tobytes()
 
 
 def _prefixes(distinct: DataFrame, rarity: bytes) -> DataFrame:
-    """(doc, line_no, n, prefix): word-set size and the rarest words as sortable longs."""
+    """(at, n, prefix): word-set size and the rarest words as sortable longs."""
 
     def ranked(word: Column) -> Column:
         h = F.xxhash64(word)
         return F.shiftleft(_byte(rarity, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    ordered = distinct.select("doc", "line_no", F.sort_array(F.transform(_words("line"), ranked)).alias("words"))
-    sized = ordered.select("doc", "line_no", F.size("words").alias("n"), "words")
-    return sized.select("doc", "line_no", "n", F.slice("words", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")).alias("prefix"))
+    ordered = distinct.select("at", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("line", " "), ranked), ranked(F.lit(""))))).alias("words"))
+    sized = ordered.select("at", F.size("words").alias("n"), "words")
+    return sized.select("at", "n", F.slice("words", F.lit(1), F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + {SHARE} as int)")).alias("prefix"))
 
 
 def _sketch(keys: DataFrame) -> bytes:
@@ -89,30 +103,55 @@ def _may_hold(sketch: bytes, h: Column) -> Column:
     return F.call_function("shiftright", flags, F.pmod(at, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _compared(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of a line x and an earlier line y of one prefix word that pass the length and positional filters."""
-    left = x.select("word", F.col("doc").alias("xd"), F.col("line_no").alias("xl"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
-    right = y.select("word", F.col("doc").alias("yd"), F.col("line_no").alias("yl"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
-    earlier = "(yd < xd or (yd = xd and yl < xl))"
+def _by_words(lines: DataFrame) -> DataFrame:
+    return lines.select("at", "n", F.posexplode("prefix").alias("pos", "word"))
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a line and the earliest line of SHARE or more of its prefix words."""
+    pivots = rows.groupBy("word").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y < last").select("word", "y")
+    met = rows.select("word", F.col("at").alias("x")).join(cut(pivots), "word").where("y < x")
+    return met.groupBy("x", "y").agg(F.count("*").alias("c")).where(f"c >= {SHARE}").select("x", "y")
+
+
+def _with_all(open_: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (x, y) of an open line and any earlier line that pass the prefix, length and positional filters.
+
+    The words are dealt with in PASSES shares, so that only a share of the prefix rows is on disk at a time.
+    """
+    need = f"(({NUM} * (xn + yn) + {NUM + DEN - 1}) div {NUM + DEN})"
     length = f"{DEN} * yn >= {NUM} * xn and {DEN} * xn >= {NUM} * yn"
-    place = f"{NUM + DEN} * (least(xp, yp) + 1 + least(xn - 1 - xp, yn - 1 - yp)) >= {NUM} * (xn + yn)"
-    return left.join(right, "word").where(f"{earlier} and {length} and {place}").select("xd", "xl", "yd", "yl").distinct()
+    place = f"xp < xn - {need} + {SHARE} and yp < yn - {need} + {SHARE}"
+    parts = []
+    for share in range(PASSES):
+        own = F.pmod(F.col("word"), F.lit(PASSES)) == share
+        x = _by_words(open_).where(own).select("word", F.col("at").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
+        y = _by_words(lines).where(own).select("word", F.col("at").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
+        met = x.join(y, "word").where(f"y < x and {length} and {place}")
+        parts.append(cut(met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.expr(need)).alias("need"))))
+        free_shuffles(lines.sparkSession)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    counted = every.groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+    pairs = cut(counted.where(f"c >= least({SHARE}, need)").select("x", "y"))
+    drop(*parts)
+    return pairs
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(doc, line_no) of the later lines of pairs whose word sets overlap enough."""
+    """(at) of the later lines of pairs whose word sets overlap enough."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("xd").alias("doc"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
-    ends = cut(ends)
-    may = _may_hold(_sketch(ends.select(F.xxhash64("doc", "line_no").alias("h"))), F.xxhash64("doc", "line_no"))
-    words = distinct.where(may).join(ends, ["doc", "line_no"], "left_semi").select("doc", "line_no", _words("line").alias("words"))
-    words = cut(words)
-    x = words.select(F.col("doc").alias("xd"), F.col("line_no").alias("xl"), F.col("words").alias("xw"))
-    y = words.select(F.col("doc").alias("yd"), F.col("line_no").alias("yl"), F.col("words").alias("yw"))
+    ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct())
+    may = _may_hold(_sketch(ends.select(F.xxhash64("at").alias("h"))), F.xxhash64("at"))
+    words = cut(distinct.where(may).join(ends, "at", "left_semi").select("at", _words("line").alias("words")))
+    met = pairs.join(words.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x")
+    met = met.join(words.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    met = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
     same = met.where((NUM + DEN) * common >= NUM * (F.size("xw") + F.size("yw")))
-    return cut(same.select(F.col("xd").alias("doc"), F.col("xl").alias("line_no")).distinct())
+    later = cut(same.select(F.col("x").alias("at")).distinct())
+    drop(pairs, ends, words)
+    return later
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,24 +161,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text; rows with a null id are left out.  Other columns, whatever their names, play no part.
     """
     spark = docs.sparkSession
-    lines = split_lines(docs, id_col, text_col).where(_long_enough("line"))
-    first = lines.groupBy(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b")).agg(F.min(F.struct("doc", "line_no", "line")).alias("l"))
-    distinct = cut(first.select("l.doc", "l.line_no", "l.line"))
+    lines, bits = _places(docs, id_col, text_col)
+    first = lines.groupBy(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b")).agg(F.min(F.struct("at", "line")).alias("l"))
+    distinct = cut(first.select("l.at", "l.line"))
+    free_shuffles(spark)
+    copies = cut(lines.select("at").join(distinct.select("at"), "at", "left_anti"))
     free_shuffles(spark)
-    copies = lines.select("doc", "line_no").join(distinct.select("doc", "line_no"), ["doc", "line_no"], "left_anti")
 
     prefixes = cut(_prefixes(distinct, _rarity(distinct)))
-    rows = prefixes.select("doc", "line_no", "n", F.posexplode("prefix").alias("pos", "word"))
-    shared = cut(rows.groupBy("word").agg(F.count("*").alias("lines")).where("lines > 1").select("word"))
-    met = cut(rows.join(shared, "word"))
     free_shuffles(spark)
-
-    pivots = met.groupBy("word").agg(F.min(F.struct("doc", "line_no", "n", "pos")).alias("p")).select("word", "p.*")
-    decided = _verified(_compared(met, cut(pivots)), distinct)
-    open_ = met.join(decided, ["doc", "line_no"], "left_anti")
-    found = _verified(_compared(open_, met), distinct)
+    decided = _verified(_with_pivots(_by_words(prefixes)), distinct)
+    free_shuffles(spark)
+    found = _verified(_with_all(cut(prefixes.join(decided, "at", "left_anti")), prefixes), distinct)
+    every = copies.union(decided).union(found)
+    removed = cut(every.select(F.shiftright("at", bits).alias("doc"), F.expr(f"cast(at & {(1 << bits) - 1} as int)").alias("line_no")))
+    drop(distinct, prefixes, copies, decided, found)
     free_shuffles(spark)
-    return copies.union(decided).union(found)
+    return removed
 
 
 def remove_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
