@@ -120,6 +120,8 @@ PHRASES = """island AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c
 TOKEN_STEPS = f"{MESSAGES}, {WORDS}, {STEMS}, {TOKENS}"
 RANK_STEPS = f"{TOKEN_STEPS}, {PAIRS}, {RANKS}, {TOP}, {FORMS}, {PHRASES}"
 
+DOCUMENT_STEPS = RANK_STEPS.replace(MESSAGES, "msg AS MATERIALIZED (SELECT doc_id AS conv_id, 0 AS turn, text AS content FROM documents)")
+
 # -- graph -------------------------------------------------------------------------------------------------------------
 
 GRAPH_STEPS = f"""{RANK_STEPS}, {SUMMARIES}, {BLOCKS}, {LINKS},
@@ -227,6 +229,7 @@ ORACLES = {
     "surface_forms": f"WITH {TOKEN_STEPS}, {FORMS} SELECT * FROM form",
     "keyword_phrases": f"WITH {RANK_STEPS} SELECT conv_id, turn, phrase, key FROM word",
     "keywords": f"WITH {RANK_STEPS} SELECT conv_id, turn, ord, phrase FROM word",
+    "document_keywords": f"WITH {DOCUMENT_STEPS} SELECT conv_id AS doc_id, ord, phrase FROM word",
     "task_nodes": _graph("SELECT conv_id, node_seq, id, role, content FROM node WHERE type = 'task'"),
     "sequence_edges": _graph("SELECT * FROM edge WHERE relation = 'sequence'"),
     "code_nodes": _graph("SELECT conv_id, node_seq, id, subtype, language, content FROM node WHERE subtype = 'code'"),
