@@ -21,10 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = cut(edges)
-        low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
         handed = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(handed.union(low).where("u <> v").distinct())
         after = _state(edges)

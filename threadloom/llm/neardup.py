@@ -10,13 +10,13 @@ components of the links.
   processes depend on the shingle alone, so two texts share a register with exactly the chance of their weighted
   Jaccard overlap.  Points are made in order of time and only up to the time by which all registers are filled.
 * Bands.  BANDS bands of ROWS registers; texts that agree on a whole band meet.  At overlap 0.8 a link is missed with a
-  chance of about 5e-6.
+  chance of about 3e-6.
 * Equal texts are one node from the start, so copies never meet each other.
-* Meeting texts are verified exactly, but not in all pairs: a group's pivots are compared with its members; members a
-  pivot matches are settled, the others go on with twice as many pivots.  One minus the overlap is a metric, so two
-  members can be linked unseen only if their overlaps with a common pivot differ by at most 0.2; pairs of members in
-  that range, whose texts are not in one component yet, are verified at the end.  So no met link between components
-  is lost, and a group of near-equal texts costs a few comparisons for each member.
+* Meeting texts are verified exactly, but not in all pairs.  A shingle that no other meeting text has cannot be shared, so
+  a text of n shingles, r of them not its own alone, can only be linked to one of m, q if min(r, q) >= (n + m) 0.8 / 1.8;
+  this sets most edited copies apart without a comparison.  The members of a group are first compared with a few
+  pivots, those with the least share of shingles of their own, which lie nearest to all others.  Then only pairs are left that lie in two components and pass the bound; those are all verified.  So no met link
+  between components is lost, and a large group of near-equal texts costs a few comparisons for each member.
 """
 
 from __future__ import annotations
@@ -29,14 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import cut, free_shuffles, table
+from .common import cut, drop, free_shuffles, table
 from .components import components
 from .textbytes import chunks, mix, row_bounds, shingles, word_hashes
 
 WORDS = 5
-SIMILARITY = 0.8
-BANDS = 40
-ROWS = 6
+#: Links have an overlap of NUM / DEN or more.
+NUM, DEN = 4, 5
+LINKED = f"{DEN} * i >= {NUM} * (i + d)"
+BOUND = f"{NUM + DEN} * least(r, q) >= {NUM} * (n + m)"
+PIVOTS = 8
+BANDS = 32
+ROWS = 5
 REGISTERS = BANDS * ROWS
 
 _U = np.uint64
@@ -145,13 +149,12 @@ def _elements(batches):
 
 
 def _verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """pairs(a, b) with their exact overlap j."""
+    """pairs(a, b) with the exact sums of minima, i, and of maxima less that, d."""
     left = elements.select(F.col("doc").alias("a"), F.col("elements").alias("ea"))
     right = elements.select(F.col("doc").alias("b"), F.col("elements").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    return cut(
-        pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("j"))
-    )
+    met = pairs.join(left, "a").join(right, "b")
+    return cut(met.select("a", "b", shared.alias("i"), (F.size("ea") + F.size("eb") - 2 * shared).alias("d")))
 
 
 def _ordered(x: str, y: str) -> list:
@@ -174,14 +177,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal texts: the least id stands for all
     full = marks.where("full")
     node_of = cut(full.groupBy("fp_a", "fp_b").agg(F.min("doc").alias("node")))
-    keys = full.join(node_of, (full.doc == node_of.node), "left_semi").select("doc", F.explode("keys").alias("key")).distinct()
-    groups = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    meets = cut(keys.join(groups, "key"))
+    nodes = full.join(node_of.select(F.col("node").alias("doc")), "doc", "left_semi").select("doc", F.explode("keys").alias("key"))
+    groups = cut(nodes.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
+    free_shuffles(spark)
+    crowd = bitmaps.sketch(groups, "key", bits=26)
+    meets = cut(bitmaps.thin(nodes, F.col("key"), crowd).join(groups, "key").distinct())
+    drop(groups)
     free_shuffles(spark)
 
     # shingles of the texts that meet another
-    members = meets.select("doc").distinct()
-    members = cut(members)
+    members = cut(meets.select("doc").distinct())
     seen = bitmaps.sketch(members.select(F.xxhash64("doc").alias("h")), "h")
     thinned = bitmaps.thin(texts, F.xxhash64("doc"), seen)
     elements = cut(
@@ -189,34 +194,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     free_shuffles(spark)
 
-    links = None
-    rings = None  # comparisons with pivots that two unseen members may hide behind
-    known = None
-    pivots_each = 1
-    work = meets
-    while not work.isEmpty():
-        salt = F.pmod(F.xxhash64("doc"), F.lit(pivots_each))
-        pivots = cut(work.groupBy("key", salt.alias("salt")).agg(F.min("doc").alias("pivot")).select("key", "pivot"))
-        compared = cut(work.join(pivots, "key").where("doc <> pivot"))
-        pairs = compared.select(*_ordered("doc", "pivot")).distinct()
-        new = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        judged = _verify(new, elements)
-        known = judged if known is None else cut(known.union(judged))
-        seen_pairs = compared.withColumns({"a": F.least("doc", "pivot"), "b": F.greatest("doc", "pivot")})
-        seen_pairs = cut(seen_pairs.join(known, ["a", "b"]).select("key", "pivot", "doc", "j"))
-        near = seen_pairs.where(F.col("j") >= SIMILARITY - (1 - SIMILARITY))
-        rings = near if rings is None else rings.union(near)
-        best = cut(seen_pairs.groupBy("key", "doc").agg(F.max("j").alias("j")).where(F.col("j") < SIMILARITY).select("key", "doc"))
-        rest = best.join(pivots, (best.key == pivots.key) & (best.doc == pivots.pivot), "left_anti")
-        left = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        work = cut(rest.join(cut(left), "key"))
-        pivots_each *= 2
-    if known is not None:
-        links = cut(known.where(F.col("j") >= SIMILARITY).select("a", "b"))
-        roots = components(links)
-        roots = _close(rings, roots, known, elements, links)
-    else:
-        roots = spark.createDataFrame([], "node long, root long")
+    sizes = cut(_sizes(elements))
+    work = _hopeful(meets.join(sizes, "doc").where(f"{DEN} * r >= {NUM} * n"))
+    drop(meets, members)
+    free_shuffles(spark)
+
+    salt = F.pmod(F.xxhash64("doc"), F.lit(PIVOTS))
+    pivots = work.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "doc", "n", "r")).alias("p"))
+    pivots = pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"), F.col("p.r").alias("q"))
+    compared = work.join(pivots, "key").where("doc <> pivot").where(BOUND)
+    known = _verify(compared.select(*_ordered("doc", "pivot")).distinct(), elements)
+    links = cut(known.where(LINKED).select("a", "b"))
+    roots = components(links)
+    more = _close(work, roots, known, elements)
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     # every text to its node, every node to its class
     placed = full.select("doc", "fp_a", "fp_b").join(node_of, ["fp_a", "fp_b"]).select("doc", "node")
@@ -225,19 +217,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.union(alone).select(F.col("doc").alias(id_col), "class")
 
 
-def _close(rings: DataFrame, roots: DataFrame, known: DataFrame, elements: DataFrame, links: DataFrame) -> DataFrame:
-    """Verifies the pairs of one group that no pivot decided and that lie in two components; returns all components."""
-    here = roots.select(F.col("node").alias("doc"), F.col("root").alias("doc_root"))
-    there = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    far = rings.where(F.col("j") < SIMILARITY).join(here, "doc", "left").join(there, "pivot", "left")
-    far = cut(far.where(F.coalesce("doc_root", "doc") != F.coalesce("pivot_root", "pivot")).select("key", "pivot", F.col("doc").alias("y"), F.col("j").alias("jy")))
-    if far.isEmpty():
-        return roots
-    close = rings.where(F.col("j") >= SIMILARITY).select("key", "pivot", F.col("doc").alias("x"), F.col("j").alias("jx"))
-    pairs = far.join(close, ["key", "pivot"]).where(F.col("jx") - F.col("jy") <= 1 - SIMILARITY + 1e-9).select(*_ordered("x", "y")).distinct()
+def _sizes(elements: DataFrame) -> DataFrame:
+    """(doc, n, r): shingles of each text, and those of them that another text has, too."""
+    each = elements.select("doc", F.explode("elements").alias("e"))
+    own = each.groupBy("e").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
+    return elements.select("doc", F.size("elements").alias("n")).join(own, "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("r"))
+
+
+def _hopeful(members: DataFrame) -> DataFrame:
+    """(key, doc, n, r) without the members whose bound no other of their group, by its least size, can meet."""
+    least = members.groupBy("key").agg(F.min("n").alias("m"), F.count("*").alias("c")).where("c > 1")
+    return cut(members.join(least, "key").where(f"{NUM + DEN} * r >= {NUM} * (n + m)").select("key", "doc", "n", "r"))
+
+
+def _close(work: DataFrame, roots: DataFrame, known: DataFrame, elements: DataFrame) -> DataFrame:
+    """Links between components: met pairs of two components that pass the bound and were not verified yet."""
+    rooted = cut(work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+    main = rooted.groupBy("key").agg(F.min_by("root", "doc").alias("main"))
+    apart = rooted.join(main, "key").where("root <> main").select("key", F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("other"))
+    pairs = rooted.join(cut(apart), "key").where("root <> other").where(BOUND).select(*_ordered("doc", "pivot")).distinct()
     judged = _verify(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), elements)
-    more = cut(judged.where(F.col("j") >= SIMILARITY).select("a", "b"))
-    return roots if more.isEmpty() else components(links.union(more))
+    return cut(judged.where(LINKED).select("a", "b"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
