@@ -36,30 +36,36 @@ LENGTH = 50
 TRIPLE = 24
 SPAN = LENGTH - TRIPLE + 1
 SKETCH_BITS = 27
+SHARES = 4
+#: Bytes looked at together; small, so that the arrays stay in cache.
+CHUNK = 1 << 18
 
 _U = np.uint64
 
 
-def _slide(a: np.ndarray, n: int, f) -> np.ndarray:
-    """f over every window of n entries."""
-    k, m = 1, a
-    while 2 * k <= n:
-        m = f(m[: len(m) - k], m[k:])
-        k *= 2
-    return f(m[: len(m) - (n - k)], m[n - k :]) if k < n else m
+def _first_least(values: np.ndarray, n: int) -> np.ndarray:
+    """Place of the first least value in every window of n entries."""
+    k, v, at = 1, values, np.arange(len(values), dtype=np.int32)
+    while k < n:
+        step = min(k, n - k)  # windows of k entries, joined with those that start `step` later
+        right = v[step:] < v[:-step]
+        v = np.where(right, v[step:], v[:-step])
+        at = np.where(right, at[step:], at[:-step])
+        k += step
+    return at
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
-    """Mixed value of the eight bytes from each position on (zeros past the end)."""
+    """The eight bytes from each position on as one number (zeros past the end)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return mix(np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy())
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
 
 
 def names_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64-bit names of the LENGTH-byte strings that start at the given positions."""
     h = np.zeros(len(at), np.uint64)
     for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        h = mix(h * _U(3) + words[at + k])
+        h = mix(h * _U(3) + mix(words[at + k]))
     return h
 
 
@@ -74,33 +80,20 @@ def samples(data: np.ndarray, offs: np.ndarray):
     if n < LENGTH or not starts_in.any():
         return np.zeros(0, np.uint64), empty, empty, empty, np.zeros(0, np.uint64)
     words = _words8(data)
-    h = mix(words[: n - 16] * _U(3) + words[8 : n - 8] * _U(5) + words[16:] * _U(7))[: n - TRIPLE + 1]
-    least = _slide(h, SPAN, np.minimum)
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, offs[:-1][starts_in > 0], 1)
-    np.add.at(inside, (offs[:-1] + starts_in)[starts_in > 0], -1)
-    start = np.flatnonzero(np.cumsum(inside[:n])[: len(least)] > 0)
-    # place of the first least triple of each string: the next position with that hash
-    low = least[start]
-    hits = np.flatnonzero(h == np.concatenate([least, np.full(len(h) - len(least), 0, np.uint64)]))  # least in its own string
-    sample = np.empty(len(start), np.int64)
-    known = h[start] == low
-    sample[known] = start[known]
-    rest = np.flatnonzero(~known)
-    if len(rest):
-        # the first least triple from start on: step to the next place where the hash falls to the least value
-        order = np.searchsorted(hits, start[rest])
-        guess = np.where(order < len(hits), hits[np.minimum(order, len(hits) - 1)], -1)
-        right = (guess >= 0) & (guess < start[rest] + SPAN)
-        right[right] = h[guess[right]] == low[rest][right]
-        sample[rest[right]] = guess[right]
-        for i in rest[~right]:
-            sample[i] = start[i] + int(np.argmax(h[start[i] : start[i] + SPAN] == least[start[i]]))
-    row = np.searchsorted(offs, start, side="right") - 1
+    h = words[: n - TRIPLE + 1] * _U(0x9E3779B97F4A7C15)
+    h += words[8 : n - TRIPLE + 9] * _U(0xC2B2AE3D27D4EB4F)
+    h ^= h >> _U(29)
+    h += words[16 : n - TRIPLE + 17] * _U(0x165667B19E3779F9)
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    least = _first_least((h >> _U(32)).astype(np.uint32), SPAN)
+    row = np.repeat(np.arange(len(starts_in)), starts_in)
+    start = np.arange(len(row)) + np.repeat(offs[:-1] - (np.cumsum(starts_in) - starts_in), starts_in)
+    sample = least[start]
     new = np.ones(len(start), bool)
-    new[1:] = (sample[1:] != sample[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])
+    new[1:] = (sample[1:] != sample[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
-    return h[sample[at]], row[at], start[at], np.diff(np.append(at, len(start))), words
+    return mix(h[sample[at]]), row[at], start[at], np.diff(np.append(at, len(start))), words
 
 
 def run_names(words: np.ndarray, first: np.ndarray, count: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -111,7 +104,7 @@ def run_names(words: np.ndarray, first: np.ndarray, count: np.ndarray, shift: np
 def _triples(batches):
     """(name): the sampled triples of each document, once each."""
     for batch in batches:
-        for _, _, data, offs in chunks(batch.column(1)):
+        for _, _, data, offs in chunks(batch.column(1), CHUNK):
             h, row, _, _, _ = samples(data, offs)
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -130,7 +123,7 @@ def _runs(shared: bitmaps.Sketch):
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            for a, _, data, offs in chunks(batch.column(1)):
+            for a, _, data, offs in chunks(batch.column(1), CHUNK):
                 h, row, first, count, words = samples(data, offs)
                 ok = shared.lets_through(h)
                 h, row, first, count = h[ok], row[ok], first[ok], count[ok]
@@ -151,7 +144,7 @@ def _strings(open_runs: bitmaps.Sketch):
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            for a, _, data, offs in chunks(batch.column(1)):
+            for a, _, data, offs in chunks(batch.column(1), CHUNK):
                 h, row, first, count, words = samples(data, offs)
                 ok = open_runs.lets_through(_run_key(h, docs[a + row], first - offs[row]))
                 row, first, count = row[ok], first[ok], count[ok]
@@ -202,11 +195,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = bitmaps.sketch(open_keys, "key", SKETCH_BITS)
     strings = cut(texts.mapInArrow(_strings(sketch), "doc long, start int, name long"))
     drop(open_keys)
-    met = cut(strings.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first"))
-    free_shuffles(spark)
-    single = strings.join(met, "name").where("doc > first").select("doc", "start", F.expr(f"start + {LENGTH}").alias("end"))
-    out = cut(settled.union(single).union(copies))
-    drop(strings, met, settled, copies, first)
+    # names are dealt with in shares, so that only a share of them is on disk twice
+    single = []
+    for share in range(SHARES):
+        own = strings.where(F.pmod("name", F.lit(SHARES)) == share)
+        met = own.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first")
+        met = cut(met)
+        single.append(cut(own.join(met, "name").where("doc > first").select("doc", "start", F.expr(f"start + {LENGTH}").alias("end"))))
+        drop(met)
+        free_shuffles(spark)
+    every = settled.union(copies)
+    for part in single:
+        every = every.union(part)
+    out = cut(every)
+    drop(strings, settled, copies, first, *single)
     free_shuffles(spark)
     return out
 
