@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier one; a document that loses all its lines goes."""
-    left = lines.remove_lines(docs, lines.repeated_lines(docs))
+    left = lines.remove_lines(docs, lines.repeated_lines(docs, few=0))
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

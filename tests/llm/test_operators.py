@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadloom.llm import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, suffixes, tokens, unigram
 from threadloom.llm.components import components
 
@@ -438,3 +439,29 @@ def test_line_dedup_in_families(spark):
     for i, t in texts.items():
         left = [x for k, x in enumerate(t.split("\n")) if (i, k) not in want]
         assert kept.get(i) == ("\n".join(left) if left else None)
+
+
+def _gone_of_any_length(texts):
+    rows = [(i, k, line, frozenset(line.split(" ")) - {""}) for i in sorted(texts) for k, line in enumerate((texts[i] or "").split("\n")) if line.strip()]
+    alike = lambda a, b: a[2] == b[2] or 5 * len(a[3] & b[3]) >= 4 * len(a[3] | b[3])
+    return {row[:2] for n, row in enumerate(rows) if any(alike(row, before) for before in rows[:n])}
+
+
+def test_line_dedup_of_short_lines(spark, docs, odd, none, tmp_path):
+    rng = random.Random(9)
+    short = ["All rights reserved.", "一二三四五六七八", "a\tb\tc\td\te\tf", "x", "b a", "a b", "a  b", "a a b", "p q r s", "p q r s t", "p q r u", "p q r", "", " ", "\t", "      "]
+    texts = {i: "\n".join(" ".join(rng.choices("abcdef", k=rng.randint(1, 6))) if rng.random() < 0.3 else rng.choice(short) for _ in range(5)) for i in range(60)} | {100: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    removed = lines.repeated_lines(df, few=0)
+    want = _gone_of_any_length(texts)
+    assert {tuple(r) for r in removed.collect()} == want
+    assert not {(i, k) for i, k in want if not texts[i].split("\n")[k].strip()}
+    some = docs.where("doc_id < 60")
+    assert {tuple(r) for r in lines.repeated_lines(some, few=0).collect()} == _gone_of_any_length(_texts(some))
+    assert {tuple(r) for r in lines.repeated_lines(odd, few=0).collect()} == _gone_of_any_length(_texts(odd))
+    assert lines.repeated_lines(none, few=0).count() == 0
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, int(k)) for r in lines.op10_line_dedup(spark, str(tmp_path)).collect() for k in r.removed_lines.split(",") if k}
+    assert got == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df.withColumn("n_chars", F.lit(0)), "").collect()}
+    assert sum(t.split("\n").count("All rights reserved.") for t in left.values() if t) == 1

@@ -2,7 +2,7 @@
 
 A line is the set of its space-separated words.  A line is removed if an earlier line (by document id, then line number)
 of the corpus has the same text or a word set with Jaccard overlap of 0.8 or more, whether or not that earlier line is
-removed itself; the result so depends on no order of work.  Lines of fewer than five words stay as they are.
+removed itself; the result so depends on no order of work.  Blank lines (white space only) stay as they are.
 
 1. Equal lines meet by a 128-bit hash, pre-aggregated; the earliest one goes on and is stored once.
 2. Word counts, over all distinct lines, in 2**20 hash slots give each word a rarity class; a line's words are ordered by
@@ -14,6 +14,9 @@ removed itself; the result so depends on no order of work.  Lines of fewer than
    are decided.  For all others the prefix join takes every earlier line.  Length and positional filters apply to
    both; so a group of thousands of near-equal lines costs a few comparisons for each line, and no match is missed.
 5. Compared lines are verified on their words.
+
+Word sets of up to ALONE words can only match equal ones; these meet by the set itself, in a pre-aggregated grouping, and
+take no part in steps 3 to 5, where their common words would make large groups.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import cut, drop, free_shuffles, table
 #: Overlap of at least NUM / DEN.
 NUM, DEN = 4, 5
 FEW = 5
+#: Sets of n and n + 1 words can match only if n (DEN - NUM) >= NUM; below that, only equal sets do.
+ALONE = (NUM - 1) // (DEN - NUM)
 SHARE = 2
 PASSES = 3
 SLOTS = 1 << 20
@@ -40,18 +45,18 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(at, line) of lines long enough; at, a long, is doc * 2**bits + line_no and so in the order of the corpus."""
+def _places(docs: DataFrame, id_col: str, text_col: str, few: int) -> tuple[DataFrame, int]:
+    """(at, line) of lines that take part; at, a long, is doc * 2**bits + line_no and so in the order of the corpus."""
     top = docs.agg(F.max(F.size(F.split(text_col, "\n"))), F.max(F.abs(F.col(id_col).cast("long")))).first()
     bits = int(max(top[0] or 1, 1)).bit_length()
     if (top[1] or 0) >= 1 << (63 - bits):
         raise ValueError(f"ids must be below 2**{63 - bits} in magnitude beside lines numbered up to {top[0]}")
-    lines = split_lines(docs, id_col, text_col).where(_long_enough("line"))
+    lines = split_lines(docs, id_col, text_col).where(_long_enough("line", few) if few else F.col("line").rlike("\\S"))
     return lines.select((F.shiftleft("doc", bits) + F.col("line_no")).alias("at"), "line"), bits
 
 
-def _long_enough(line: str) -> Column:
-    return F.size(F.split(line, " ", FEW)) == FEW
+def _long_enough(line: str, few: int) -> Column:
+    return F.size(F.split(line, " ", few)) == few
 
 
 def _words(line: str) -> Column:
@@ -75,15 +80,22 @@ def _rarity(distinct: DataFrame) -> bytes:
 
 
 def _prefixes(distinct: DataFrame, rarity: bytes) -> DataFrame:
-    """(at, n, prefix): word-set size and the rarest words as sortable longs."""
+    """(at, n, prefix, few): word-set size and the rarest words as sortable longs; few is a set of 1 to ALONE words."""
 
     def ranked(word: Column) -> Column:
         h = F.xxhash64(word)
         return F.shiftleft(_byte(rarity, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    ordered = distinct.select("at", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("line", " "), ranked), ranked(F.lit(""))))).alias("words"))
-    sized = ordered.select("at", F.size("words").alias("n"), "words")
-    return sized.select("at", "n", F.slice("words", F.lit(1), F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + {SHARE} as int)")).alias("prefix"))
+    ordered = distinct.select("at", "line", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("line", " "), ranked), ranked(F.lit(""))))).alias("words"))
+    sized = ordered.select("at", "line", F.size("words").alias("n"), "words")
+    few = F.when(F.col("n").between(1, ALONE), F.array_sort(_words("line"))).alias("few")
+    return sized.select("at", "n", few, F.slice("words", F.lit(1), F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + {SHARE} as int)")).alias("prefix"))
+
+
+def _same_sets(sets: DataFrame) -> DataFrame:
+    """(at) of every line of sets(at, few) but the earliest of each set."""
+    first = sets.groupBy("few").agg(F.min("at").alias("at")).select("at")
+    return sets.select("at").join(first, "at", "left_anti")
 
 
 def _sketch(keys: DataFrame) -> bytes:
@@ -154,28 +166,31 @@ def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return later
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """(doc, line_no) of every line to remove.
 
-    Null texts have no lines; empty lines are short lines.  Rows that share an id are one document and must hold one
+    Lines of fewer than `few` space-separated fields stay; with 0, as the queries have it, all but blank lines take part.
+    Null texts have no lines.  Rows that share an id are one document and must hold one
     text; rows with a null id are left out.  Other columns, whatever their names, play no part.
     """
     spark = docs.sparkSession
-    lines, bits = _places(docs, id_col, text_col)
+    lines, bits = _places(docs, id_col, text_col, few)
     first = lines.groupBy(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b")).agg(F.min(F.struct("at", "line")).alias("l"))
     distinct = cut(first.select("l.at", "l.line"))
     free_shuffles(spark)
     copies = cut(lines.select("at").join(distinct.select("at"), "at", "left_anti"))
     free_shuffles(spark)
 
-    prefixes = cut(_prefixes(distinct, _rarity(distinct)))
+    stored = cut(_prefixes(distinct, _rarity(distinct)))
     free_shuffles(spark)
+    same = cut(_same_sets(stored.where("few is not null").select("at", "few")))
+    prefixes = stored.where("few is null").select("at", "n", "prefix")
     decided = _verified(_with_pivots(_by_words(prefixes)), distinct)
     free_shuffles(spark)
     found = _verified(_with_all(cut(prefixes.join(decided, "at", "left_anti")), prefixes), distinct)
-    every = copies.union(decided).union(found)
+    every = copies.union(same).union(decided).union(found)
     removed = cut(every.select(F.shiftright("at", bits).alias("doc"), F.expr(f"cast(at & {(1 << bits) - 1} as int)").alias("line_no")))
-    drop(distinct, prefixes, copies, decided, found)
+    drop(distinct, stored, copies, same, decided, found)
     free_shuffles(spark)
     return removed
 
@@ -194,7 +209,7 @@ def remove_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", te
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document: doc_id, n_lines, n_removed and the numbers of the removed lines, in order, as text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    removed = repeated_lines(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    removed = repeated_lines(docs, few=0).groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n"))
     joined = counted.join(removed, "doc_id", "left")
     return joined.select(
