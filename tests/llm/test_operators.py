@@ -278,6 +278,28 @@ def test_changed_slots(spark, odd, none):
     assert decontaminate.find_items(df, items.limit(0)).count() == 0
 
 
+def test_short_items_in_longer_texts(spark, tmp_path):
+    items = {1: "What is the capital of France?", 2: "Which river crosses the old town of Basel", 3: "photosynthesis", 4: "Where did Tom buy 12 apples?"}
+    before, after = "Some words that come before it without a mark ", " and several more words that follow behind it."
+    texts = {i: before + t + after for i, t in items.items()} | {
+        5: before + "What is the capital of Spain?" + after,
+        6: before + "Where did Bob buy 7 apples?" + after,
+        7: before + "so Paris is the capital of France" + after,
+        8: before + "which river crosses the new town of Basel" + after,
+        9: items[1],
+        10: None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 4), (9, 1)}
+    assert {(r.id, r.item) for r in decontaminate.find_items(df, tests).collect()} == want
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    tests.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()} == want
+    kept = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {7, 8, 10}
+
+
 # -- 6, 9 --------------------------------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,9 @@ Texts and benchmark items become token sequences in which numbers, names and uni
   of the text), is a <name>;
 * every other token stands for itself, lower-cased.
 
-Windows of eight template tokens (a shorter item is one window) are joined by hash with those of the texts; a window
-with fewer than half literal tokens is no evidence and left out.  On each diagonal (text position minus item position) the
+Windows of eight template tokens are joined by hash with those of the texts; a shorter item is one window, joined with the
+texts' windows of its length.  An item's first word stands for itself, so a <name> or <unit> that begins a window of a text
+may also stand for itself.  A window with fewer than half literal tokens is no evidence and left out.  On each diagonal (text position minus item position) the
 values in the slots must match one to one: one item value always stands for the same text value and the other way
 round, so a question with new numbers or names is caught, and a chance mix of templates is not.  An item is found in a
 text if consistent diagonals hold at least half of the item's windows.
@@ -90,53 +91,69 @@ def template(data: np.ndarray, offs: np.ndarray):
     return code, value, number | unit | name, rows
 
 
-def windows(data: np.ndarray, offs: np.ndarray, k: int = WINDOW):
-    """(hash, row, position of the first token, index of it, tokens in it) of windows with enough literal tokens."""
-    code, value, slot, rows = template(data, offs)
-    n, m = len(offs) - 1, len(code)
-    bounds = row_bounds(rows, n)
-    size = np.diff(bounds)
-    if not m:
-        z = np.zeros(0, np.int64)
-        return code, z, z, z, z, value, slot
-    padded = np.concatenate([code, np.zeros(k, np.uint64)])
-    end_of = bounds[rows + 1]
-    at = np.arange(m)
-    here = np.minimum(k, end_of - at)
-    keep = (here == k) | ((at == bounds[rows]) & (size[rows] < k))
-    h = np.zeros(m, np.uint64)
+def _hashes(tokens: np.ndarray, at: np.ndarray, k: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the k tokens from each place on, the first of them replaced if told; those of other lengths differ."""
+    h = np.full(len(at), k, np.uint64)
     for i in range(k):
-        h = mix(h * _U(3) + np.where(i < here, padded[i : i + m], _U(i + 1)))
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    literal = here - (slots[np.minimum(at + here, m)] - slots[at])
-    keep &= literal * 2 >= here
-    index = np.flatnonzero(keep)
-    return h[index], rows[index], index - bounds[rows[index]], index, here[index], value, slot
+        h = mix(h * _U(3) + (tokens[at + i] if i or first is None else first))
+    return h
+
 
+def windows(data: np.ndarray, offs: np.ndarray, lengths: list[int] | None):
+    """Windows with enough literal tokens: (hash, index of the first token, index of the first slot token, tokens), and
+    (value, is slot, bounds) of the tokens.
 
-def _window_rows(only: bitmaps.Sketch | None):
+    Of a text, all windows of the lengths; with lengths None, those of an item: of WINDOW tokens, or the whole if shorter.
+    """
+    code, value, slot, rows = template(data, offs)
+    bounds = row_bounds(rows, len(offs) - 1)
+    m = len(code)
+    slots = np.concatenate([[0], np.cumsum(slot)])
+    left = bounds[rows + 1] - np.arange(m)
+    size = np.diff(bounds)[rows]
+    parts = []
+    for k in range(1, WINDOW + 1) if lengths is None else lengths:
+        at = np.flatnonzero((left >= k) & ((size == k) | (k == WINDOW) | (lengths is not None)))
+        if not len(at):
+            continue
+        literal = k - (slots[at + k] - slots[at])
+        own = at[literal * 2 >= k]
+        parts.append((_hashes(code, own, k), own, own, np.full(len(own), k)))
+        if lengths is not None:
+            # a name or unit at the start as the word itself
+            first = slot[at] & (code[at] != _NUMBER) & ((literal + 1) * 2 >= k)
+            own = at[first]
+            parts.append((_hashes(code, own, k, value[own]), own, own + 1, np.full(len(own), k)))
+    none = np.zeros(0, np.int64)
+    found = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [none.astype(np.uint64), none, none, none]
+    return (*found, value, slot, bounds)
+
+
+def _window_rows(only: bitmaps.Sketch | None, lengths: list[int] | None):
     def run(batches):
         for batch in batches:
             for a, _, data, offs in chunks(batch.column(1)):
-                h, row, pos, index, here, value, slot = windows(data, offs)
+                h, index, begin, here, value, slot, bounds = windows(data, offs, lengths)
                 if only is not None and len(h):
                     ok = only.lets_through(h)
-                    h, row, pos, index, here = h[ok], row[ok], pos[ok], index[ok], here[ok]
+                    h, index, begin, here = h[ok], index[ok], begin[ok], here[ok]
+                row = np.searchsorted(bounds, index, side="right") - 1
                 # slot values of each window, in order
                 before = np.concatenate([[0], np.cumsum(slot)])
-                values = value[slot].view(np.int64) if len(value) else np.zeros(0, np.int64)
-                lo = before[index] if len(index) else np.zeros(0, np.int64)
-                n = (before[index + here] - lo) if len(index) else lo
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                flat = values[np.arange(bounds[-1]) + np.repeat(lo - bounds[:-1], n)]
-                slots = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+                values = value[slot].view(np.int64)
+                lo = before[begin]
+                n = before[index + here] - lo
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = values[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], n)]
+                slots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 ids = batch.column(0).take(pa.array(row + a))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos.astype(np.int64)), slots], ["id", "h", "pos", "slots"])
+                columns = [ids, pa.array(h.view(np.int64)), pa.array(index - bounds[row]), slots, pa.array(here.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "slots", "size"])
 
     return run
 
 
-_SCHEMA = "id long, h long, pos long, slots array<long>"
+_SCHEMA = "id long, h long, pos long, slots array<long>, size int"
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
@@ -146,11 +163,12 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     be found.  Equal rows and equal items give equal decisions.  Other columns play no part.  A sketch of the items'
     windows (1 MB, whatever their number) thins out the scan; the join that follows is exact.
     """
-    tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(None), _SCHEMA)
-    tests = tests.select(F.col("id").alias("item"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(None, None), _SCHEMA)
+    tests = tests.select(F.col("id").alias("item"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("size").alias("tokens"))
     size = tests.groupBy("item").agg(F.count_distinct("item_pos").alias("windows"))
     only = bitmaps.sketch(tests, "h")
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_window_rows(only), _SCHEMA)
+    lengths = [WINDOW, *(r.tokens for r in tests.where(f"tokens < {WINDOW}").select("tokens").distinct().collect())]
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_window_rows(only, lengths), _SCHEMA)
     met = found.join(tests, "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
     line = met.groupBy("id", "item", "diagonal").agg(pairs.alias("values"), F.collect_set("item_pos").alias("at"))
