@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), verbatim=True)
     gone = found.select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

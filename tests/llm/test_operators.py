@@ -300,6 +300,33 @@ def test_short_items_in_longer_texts(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {7, 8, 10}
 
 
+def test_items_of_placeholders(spark, docs, tmp_path):
+    items = {
+        1: "7 8 9 10 11 12 13 14",
+        2: "so the Great War And Peace Of Old Russia Was Read By Every Man In Town",
+        3: "Die Katze und der Hund vom Nachbarn Meier fressen Fisch Brot Wurst Butter Käse Eier",
+        4: "Add 3 5 8 13 21 34 55 89 144 233 377 610 987 1597 and then say slowly what comes next in that list",
+        5: "12 7",
+    }
+    texts = {i: "Some words before it " + t + " and several more words behind it." for i, t in items.items()} | {
+        6: items[1],
+        7: "7 8 9 10 11 12 13 15",
+        8: "so the Small Cat And Mouse Of New Prussia Was Seen By Each Woman In Court",
+        9: "Some words. Add 4 6 9 14 22 35 56 90 145 234 378 611 988 1598 and then say slowly what comes next in that list",
+        10: "12 8",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {(i, i) for i in items} | {(6, 1), (9, 4)}
+    found = decontaminate.find_items(df, tests, verbatim=True).collect()
+    assert {(r.id, r.item) for r in found} == want
+    assert all(0.5 <= r.coverage <= 1 for r in found)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    tests.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()} == {7, 8, 10}
+
+
 # -- 6, 9 --------------------------------------------------------------------------------------------------------------
 
 

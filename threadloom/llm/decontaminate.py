@@ -10,10 +10,13 @@ Texts and benchmark items become token sequences in which numbers, names and uni
 
 Windows of eight template tokens are joined by hash with those of the texts; a shorter item is one window, joined with the
 texts' windows of its length.  An item's first word stands for itself, so a <name> or <unit> that begins a window of a text
-may also stand for itself.  A window with fewer than half literal tokens is no evidence and left out.  On each diagonal (text position minus item position) the
-values in the slots must match one to one: one item value always stands for the same text value and the other way
-round, so a question with new numbers or names is caught, and a chance mix of templates is not.  An item is found in a
-text if consistent diagonals hold at least half of the item's windows.
+may also stand for itself.  A window with fewer than half literal tokens is no evidence of that kind.  On each diagonal
+(text position minus item position) the values in the slots must match one to one: one item value always stands for the
+same text value and the other way round, so a question with new numbers or names is caught, and a chance mix of templates
+is not.  A second hash, over the
+values, joins windows that are equal word for word; these count whatever their share of literal tokens.  An item is found
+in a text if consistent diagonals and equal windows hold at least half of its windows with enough literal tokens, or at
+least half of all its windows.
 """
 
 from __future__ import annotations
@@ -99,9 +102,9 @@ def _hashes(tokens: np.ndarray, at: np.ndarray, k: int, first: np.ndarray | None
     return h
 
 
-def windows(data: np.ndarray, offs: np.ndarray, lengths: list[int] | None):
-    """Windows with enough literal tokens: (hash, index of the first token, index of the first slot token, tokens), and
-    (value, is slot, bounds) of the tokens.
+def windows(data: np.ndarray, offs: np.ndarray, lengths: list[int] | None, verbatim: bool):
+    """Windows: (hash, index of the first token, index from which slots count, tokens, is verbatim, has enough literal
+    tokens), and (value, is slot, bounds) of the tokens.  Verbatim windows are hashed by value and have no slots.
 
     Of a text, all windows of the lengths; with lengths None, those of an item: of WINDOW tokens, or the whole if shorter.
     """
@@ -117,26 +120,29 @@ def windows(data: np.ndarray, offs: np.ndarray, lengths: list[int] | None):
         if not len(at):
             continue
         literal = k - (slots[at + k] - slots[at])
-        own = at[literal * 2 >= k]
-        parts.append((_hashes(code, own, k), own, own, np.full(len(own), k)))
+        rich = literal * 2 >= k
+        own = at[rich]
+        parts.append((_hashes(code, own, k), own, own, np.full(len(own), k), np.zeros(len(own), bool), np.ones(len(own), bool)))
+        if verbatim:
+            parts.append((mix(_hashes(value, at, k)), at, at + k, np.full(len(at), k), np.ones(len(at), bool), rich))
         if lengths is not None:
             # a name or unit at the start as the word itself
             first = slot[at] & (code[at] != _NUMBER) & ((literal + 1) * 2 >= k)
             own = at[first]
-            parts.append((_hashes(code, own, k, value[own]), own, own + 1, np.full(len(own), k)))
+            parts.append((_hashes(code, own, k, value[own]), own, own + 1, np.full(len(own), k), np.zeros(len(own), bool), np.ones(len(own), bool)))
     none = np.zeros(0, np.int64)
-    found = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [none.astype(np.uint64), none, none, none]
+    found = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [none.astype(np.uint64), none, none, none, none.astype(bool), none.astype(bool)]
     return (*found, value, slot, bounds)
 
 
-def _window_rows(only: bitmaps.Sketch | None, lengths: list[int] | None):
+def _window_rows(only: bitmaps.Sketch | None, lengths: list[int] | None, verbatim: bool):
     def run(batches):
         for batch in batches:
             for a, _, data, offs in chunks(batch.column(1)):
-                h, index, begin, here, value, slot, bounds = windows(data, offs, lengths)
+                h, index, begin, here, raw, rich, value, slot, bounds = windows(data, offs, lengths, verbatim)
                 if only is not None and len(h):
                     ok = only.lets_through(h)
-                    h, index, begin, here = h[ok], index[ok], begin[ok], here[ok]
+                    h, index, begin, here, raw, rich = h[ok], index[ok], begin[ok], here[ok], raw[ok], rich[ok]
                 row = np.searchsorted(bounds, index, side="right") - 1
                 # slot values of each window, in order
                 before = np.concatenate([[0], np.cumsum(slot)])
@@ -147,42 +153,48 @@ def _window_rows(only: bitmaps.Sketch | None, lengths: list[int] | None):
                 flat = values[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], n)]
                 slots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 ids = batch.column(0).take(pa.array(row + a))
-                columns = [ids, pa.array(h.view(np.int64)), pa.array(index - bounds[row]), slots, pa.array(here.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "slots", "size"])
+                columns = [ids, pa.array(h.view(np.int64)), pa.array(index - bounds[row]), slots, pa.array(here.astype(np.int32)), pa.array(raw), pa.array(rich)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "slots", "size", "raw", "rich"])
 
     return run
 
 
-_SCHEMA = "id long, h long, pos long, slots array<long>, size int"
+_SCHEMA = "id long, h long, pos long, slots array<long>, size int, raw boolean, rich boolean"
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER, verbatim: bool = False) -> DataFrame:
     """(id, item, matched, windows, coverage): every benchmark item found in a text, one row for each pair.
 
-    Null and empty texts or items have no windows and never match.  An item without evidence (placeholders only) cannot
-    be found.  Equal rows and equal items give equal decisions.  Other columns play no part.  A sketch of the items'
+    Null and empty texts or items have no windows and never match.  Only with `verbatim`, as the
+    queries have it, are windows compared by value, and items without enough literal tokens found.  Equal rows and equal items give equal decisions.  Other columns play no part.  A sketch of the items'
     windows (1 MB, whatever their number) thins out the scan; the join that follows is exact.
     """
-    tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(None, None), _SCHEMA)
-    tests = tests.select(F.col("id").alias("item"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("size").alias("tokens"))
-    size = tests.groupBy("item").agg(F.count_distinct("item_pos").alias("windows"))
+    tests = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(None, None, verbatim), _SCHEMA)
+    tests = tests.select(F.col("id").alias("item"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("size").alias("tokens"), "raw", "rich")
+    rich = lambda place: F.count_distinct(F.when(F.col("rich"), F.col(place)))
+    size = tests.groupBy("item").agg(F.count_distinct("item_pos").alias("all_windows"), rich("item_pos").alias("rich_windows"))
     only = bitmaps.sketch(tests, "h")
     lengths = [WINDOW, *(r.tokens for r in tests.where(f"tokens < {WINDOW}").select("tokens").distinct().collect())]
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_window_rows(only, lengths), _SCHEMA)
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_window_rows(only, lengths, verbatim), _SCHEMA)
+    found = found.select("id", "h", "pos", "slots")
     met = found.join(tests, "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    line = met.groupBy("id", "item", "diagonal").agg(pairs.alias("values"), F.collect_set("item_pos").alias("at"))
+    line = met.groupBy("id", "item", "diagonal", "raw").agg(pairs.alias("values"), F.collect_set(F.struct("item_pos", "rich")).alias("at"))
     distinct = lambda name: F.size(F.array_distinct(F.col("values").getField(name)))
     n = F.size("values")
     steady = line.where((distinct("item_slots") == n) & (distinct("slots") == n))
-    matched = steady.select("id", "item", F.explode("at").alias("at")).groupBy("id", "item").agg(F.count_distinct("at").alias("matched"))
-    judged = matched.join(size, "item").withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= cover)
+    places = steady.select("id", "item", F.explode("at").alias("at")).select("id", "item", "at.item_pos", "at.rich")
+    matched = places.groupBy("id", "item").agg(F.count_distinct("item_pos").alias("all_matched"), rich("item_pos").alias("rich_matched"))
+    judged = matched.join(size, "item")
+    enough = F.coalesce(F.try_divide("rich_matched", "rich_windows") >= cover, F.lit(False))
+    judged = judged.select("id", "item", *(F.when(enough, F.col(f"rich_{n}")).otherwise(F.col(f"all_{n}")).alias(n) for n in ("matched", "windows")))
+    judged = judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= cover)
     return judged.select("id", "item", "matched", "windows", "coverage")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, matched_windows, item_windows, coverage."""
-    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), verbatim=True)
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("item").alias("item_id"),
