@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.functions import dom, porter, rank, texts
-from threadloom.operators import review
+from threadloom.operators import graph, review
+from threadloom.sources import pages as page_source
 from threadloom.sources import transcripts
 
 STEMS = (
@@ -200,3 +201,46 @@ def test_transcripts(spark):
 )
 def test_platform(spark, url, want):
     assert _one(spark, transcripts.detect_platform("x"), url) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>a <a href='http://[x'>b</a></p>", "a [b](http://[x)"),
+        ("<div>" * 5000 + "a", "a"),
+        ("<blockquote>" * 2000 + "a", "> " * 2000 + "a"),
+        ("<table>" + "<tr><td><p>a" * 3000, "\n\n".join("a" * 3000)),
+        ("<table><tr><td>a<table><tr><td>b<td>c</table>d<th>e<tr><td>f</table>", "abcdef"),
+        ("<![foo[x]]>a", "a"),
+        ("&#" + "9" * 5000 + ";a", "\ufffda"),
+    ],
+)
+def test_odd_markup(html, want):
+    assert dom.html_to_markdown(html, "https://h.example/p") == want
+
+
+def test_implied_tags():
+    def tags(e):
+        return [(c.tag, tags(c)) if c.children else c.tag for c in e.children]
+
+    cells = dom.parse("<table><tbody><tr><td>a<th>b<tr><td><table><tr><td>c<td>d</table><td>e<tbody><tr><td>f</table>")
+    row = ("tr", ["td", "th"]), ("tr", [("td", [("table", [("tr", ["td", "td"])])]), "td"])
+    assert tags(cells) == [("table", [("tbody", [*row]), ("tbody", [("tr", ["td"])])])]
+    assert tags(dom.parse("<dl><dt>a<dd>b<dl><dt>c</dl><dd>d</dl>")) == [("dl", ["dt", ("dd", [("dl", ["dt"])]), "dd"])]
+    assert tags(dom.parse("<select><option>a<option>b<optgroup><option>c<optgroup><option>d</select>")) == [
+        ("select", ["option", "option", ("optgroup", ["option"]), ("optgroup", ["option"])])
+    ]
+
+
+def test_no_page_is_lost(spark):
+    turns = "<article>A question that is long enough</article><article>An answer {}that is long enough</article>"
+    odd = ["", "<a href='http://[x'>link</a> ", "<i>" * 3000, "<table>" + "<tr><td>" * 3000 + "</table>", "<![foo[x]]>"]
+    pages = spark.createDataFrame([(i, "https://h.example/p", turns.format(o)) for i, o in enumerate(odd)], "page_id long, url string, html string")
+    got = {}
+    for r in page_source.page_messages(pages).orderBy("page_id", "turn").collect():
+        got.setdefault(r.page_id, []).append(r.role)
+    assert got == dict.fromkeys(range(len(odd)), ["user", "assistant"])
+    made = pages.select(page_source.html_to_markdown("html", "url").alias("m")).collect()
+    assert all("A question" in r.m and "that is long enough" in r.m for r in made)
+    nodes = graph.graph_nodes(page_source.page_messages(pages).withColumnRenamed("page_id", "conv_id"))
+    assert nodes.where("type = 'task'").groupBy("conv_id").count().where("count = 2").count() == len(odd)

@@ -1,7 +1,8 @@
 """A small document tree for stored pages, and the extraction of messages from it.
 
 Layout is not stored, so an element counts as visible unless it or an ancestor has the attribute `hidden` or an inline
-`display:none`.  A new block closes an open paragraph with its inline children.
+`display:none`.  A new block closes an open paragraph with its inline children; items, cells, rows and options close what
+they imply.  Nothing here recurses, so nesting of any depth is read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,16 @@ from urllib.parse import urljoin, urlsplit
 
 # Element classes and patterns of the extraction rules.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
+#: By start tag: the open elements it closes, up to an element of the second set.
+IMPLIED = {
+    "li": (("li",), {"ul", "ol"}),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), {"dl"})),
+    **dict.fromkeys(("td", "th"), (("td", "th"), {"tr", "table"})),
+    "tr": (("tr",), {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), {"table"})),
+    "option": (("option",), {"optgroup", "select", "datalist"}),
+    "optgroup": (("optgroup", "option"), {"select"}),
+}
 BLOCKS = set("address article aside blockquote body div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table ul".split())
 SILENT = set("button svg img input nav aside header footer script style".split())
 ZONE_TAGS = {"nav", "aside", "header", "footer"}
@@ -41,12 +52,21 @@ class Element:
         return [n for n in self.nodes if isinstance(n, Element)]
 
     def text(self) -> str:
-        return "".join(n if isinstance(n, str) else n.text() for n in self.nodes)
+        parts, left = [], [self]
+        while left:
+            n = left.pop()
+            if isinstance(n, str):
+                parts.append(n)
+            else:
+                left += reversed(n.nodes)
+        return "".join(parts)
 
     def walk(self):
-        for child in self.children:
+        left = self.children[::-1]
+        while left:
+            child = left.pop()
             yield child
-            yield from child.walk()
+            left += reversed(child.children)
 
     def matches(self, selector: str) -> bool:
         return any(all(self._simple(p) for p in re.findall(r"\[[^\]]*\]|\.[\w-]+|^[\w-]+", one)) for one in map(str.strip, selector.split(",")))
@@ -71,8 +91,9 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._close("p")
-        if tag == "li":
-            self._close("li", {"ul", "ol"})
+        names, stop = IMPLIED.get(tag, ((), frozenset()))
+        for name in names:
+            self._close(name, stop)
         made = Element(tag, {k: v or "" for k, v in attrs}, self.open)
         self.open.nodes.append(made)
         if tag not in VOID:
@@ -89,6 +110,12 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.open.nodes.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown keyword; to browsers, a comment
+            return self.parse_bogus_comment(i)
+
     def _close(self, tag, stop=frozenset()):
         at = self.open
         while at.parent is not None:
@@ -102,21 +129,34 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Element:
     builder = _Builder()
-    builder.feed(html or "")
+    # int() refuses numbers of thousands of digits; this one too stands for no character
+    builder.feed(re.sub(r"&#\d{4000,}", "&#9999999", html or ""))
     builder.close()
     return builder.root
 
 
-def _inside(e: Element, base: str) -> str:
-    return "".join(n if isinstance(n, str) else markdown_of(n, base) for n in e.nodes)
+def _inside(e: Element, base: str):
+    parts = []
+    for n in e.nodes:
+        parts.append(n if isinstance(n, str) else (yield _markdown(n, base)))
+    return "".join(parts)
 
 
-def _listed(e: Element, base: str, mark) -> str:
-    items = [c for c in e.children if c.tag == "li"]
-    return "\n".join(mark(i) + _inside(c, base).strip() for i, c in enumerate(items)) + "\n\n"
+def _listed(e: Element, base: str, mark):
+    parts = []
+    for i, c in enumerate(c for c in e.children if c.tag == "li"):
+        parts.append(mark(i) + (yield _inside(c, base)).strip())
+    return "\n".join(parts) + "\n\n"
 
 
-def markdown_of(e: Element, base: str) -> str:
+def _absolute(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href)
+    except ValueError:  # no address: as it stands
+        return href
+
+
+def _markdown(e: Element, base: str):
     tag = e.tag
     if tag in SILENT or e.hidden:
         return ""
@@ -125,24 +165,41 @@ def markdown_of(e: Element, base: str) -> str:
         named = re.search(r"(?:language-|lang-)(\w+)", code.attrs.get("class", "")) if code else None
         return f"\n```{named[1] if named else ''}\n{(code or e).text()}\n```\n"
     if tag == "a":
-        target = urljoin(base, e.attrs["href"]) if "href" in e.attrs else ""
+        target = _absolute(base, e.attrs["href"]) if "href" in e.attrs else ""
         return f"[{e.text()}]({target})"
     if re.fullmatch("h[1-6]", tag):
         return "#" * int(tag[1]) + " " + e.text().strip() + "\n\n"
     if tag in ("ul", "ol"):
-        return _listed(e, base, (lambda i: "- ") if tag == "ul" else (lambda i: f"{i + 1}. "))
+        return (yield _listed(e, base, (lambda i: "- ") if tag == "ul" else (lambda i: f"{i + 1}. ")))
     if tag == "code":
         return f"`{e.text()}`"
     if tag == "blockquote":
-        return "> " + _inside(e, base).strip() + "\n\n"
+        return "> " + (yield _inside(e, base)).strip() + "\n\n"
     if tag == "br":
         return "\n"
     before, after = {"strong": ("**", "**"), "b": ("**", "**"), "em": ("*", "*"), "i": ("*", "*"), "p": ("", "\n\n")}.get(tag, ("", ""))
-    return before + _inside(e, base) + after
+    return before + (yield _inside(e, base)) + after
+
+
+def _finished(job) -> str:
+    """The result of a job that yields the jobs whose results it waits for, on a stack of its own."""
+    jobs, told = [job], None
+    while jobs:
+        try:
+            jobs.append(jobs[-1].send(told))
+            told = None
+        except StopIteration as done:
+            jobs.pop()
+            told = done.value
+    return told
+
+
+def markdown_of(e: Element, base: str) -> str:
+    return _finished(_markdown(e, base))
 
 
 def html_to_markdown(html: str, base: str) -> str:
-    return _inside(parse(html), base).strip()
+    return _finished(_inside(parse(html), base)).strip()
 
 
 def role_of(e: Element, index: int, attribute: str | None) -> str:

@@ -24,17 +24,13 @@ def html_to_markdown(html: Column | str, url: Column | str) -> Column:
 
 
 def page_messages(pages: DataFrame) -> DataFrame:
-    """(page_id, turn, role, content, method) of pages(page_id, url, html); a page that cannot be read gives no rows."""
+    """(page_id, turn, role, content, method) of pages(page_id, url, html)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for page, url, html in frame.itertuples(index=False):
-                try:
-                    found = dom.page_messages(url, html)
-                except (RecursionError, ValueError):
-                    found = []
-                rows += [(page, turn, *m) for turn, m in enumerate(found)]
+                rows += [(page, turn, *m) for turn, m in enumerate(dom.page_messages(url, html))]
             yield pd.DataFrame(rows, columns=["page_id", "turn", "role", "content", "method"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, MESSAGES)
