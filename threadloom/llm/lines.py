@@ -4,15 +4,18 @@ A line is the set of its space-separated words.  A line is removed if an earlier
 of the corpus has the same text or a word set with Jaccard overlap of 0.8 or more, whether or not that earlier line is
 removed itself; the result so depends on no order of work.  Blank lines (white space only) stay as they are.
 
-1. Equal lines meet by a 128-bit hash, pre-aggregated; the earliest one goes on and is stored once.
-2. Word counts, over all distinct lines, in 2**20 hash slots give each word a rarity class; a line's words are ordered by
-   rarity class and hash, the rarest first.  Any common order makes the join exact; this one makes it cheap.
-3. Prefix filter: two lines of n and m words with overlap 0.8 have o = ceil((n + m) 0.8 / 1.8) words in common, so they
-   share SHARE words (or o, if that is less) among the first n - o + SHARE of the one and m - o + SHARE of the other.
-   Positions are joined along and tested against these bounds, which depend on both lengths.
-4. Each line is first compared with the earliest line of several of its prefix words.  Lines for which that finds a match
-   are decided.  For all others the prefix join takes every earlier line.  Length and positional filters apply to
-   both; so a group of thousands of near-equal lines costs a few comparisons for each line, and no match is missed.
+1. Word counts, over all lines, in SLOTS hash slots give each word a rarity class; a line's words are ordered by class and
+   hash, the rarest first.  Any common order makes the join exact; this one makes it cheap.
+2. Equal lines meet by a 128-bit hash, pre-aggregated; the earliest one goes on, as its word count, its rarest words and
+   128 parity bits of a fixed quarter of all words.
+3. Families.  Neighbours among a line's rarest words, words that few lines have left aside, name a place; a line is compared
+   with the earliest line of the place that most of its pairs point to.  That decides the members of large groups of
+   near-equal lines with one comparison each, and no other line is touched by it.
+4. Prefix filter.  Two lines of n and m words with overlap 0.8 have o = ceil((n + m) 0.8 / 1.8) words in common, so the
+   rarest of these is among the first n - o + 1 of the one and m - o + 1 of the other.  All undecided lines meet all earlier
+   ones by it, under length and positional filters and the parity filter: more than n + m - 2 o differing bits, more than
+   that many differing words.  If that word is one of the most frequent, all common words are, and two of them are among
+   the first n - o + 2 and m - o + 2; such lines meet by pairs of frequent words, so no single word makes a large group.
 5. Compared lines are verified on their words.
 
 Word sets of up to ALONE words can only match equal ones; these meet by the set itself, in a pre-aggregated grouping, and
@@ -22,6 +25,7 @@ take no part in steps 3 to 5, where their common words would make large groups.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +36,12 @@ NUM, DEN = 4, 5
 FEW = 5
 #: Sets of n and n + 1 words can match only if n (DEN - NUM) >= NUM; below that, only equal sets do.
 ALONE = (NUM - 1) // (DEN - NUM)
-SHARE = 2
-PASSES = 3
-SLOTS = 1 << 20
-#: Flags of the sketch that thins out the last scan, seven to a byte; about 1 MB whatever it is built from.
-FLAGS = 7 << 20
+#: Slots of the word counts; 2 MB whatever the size of the corpus.
+SLOTS = 1 << 21
+#: Flags of the sketch that thins out scans; 1 MB whatever it is built from.
+FLAGS = 1 << 23
+#: Words counted so often name families; words counted OFTEN only meet in pairs.
+CROWD, OFTEN = 1 << 5, 1 << 12
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,7 +52,8 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _places(docs: DataFrame, id_col: str, text_col: str, few: int) -> tuple[DataFrame, int]:
     """(at, line) of lines that take part; at, a long, is doc * 2**bits + line_no and so in the order of the corpus."""
-    top = docs.agg(F.max(F.size(F.split(text_col, "\n"))), F.max(F.abs(F.col(id_col).cast("long")))).first()
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    top = docs.agg(F.max(breaks + 1), F.max(F.abs(F.col(id_col).cast("long")))).first()
     bits = int(max(top[0] or 1, 1)).bit_length()
     if (top[1] or 0) >= 1 << (63 - bits):
         raise ValueError(f"ids must be below 2**{63 - bits} in magnitude beside lines numbered up to {top[0]}")
@@ -63,33 +69,47 @@ def _words(line: str) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
-def _byte(table_: bytes, at: Column) -> Column:
-    """The byte (below 128) at a place of a constant table."""
-    return F.ascii(F.substring(F.lit(bytearray(table_)), at + 1, F.lit(1)).cast("string"))
+def _held(spark: SparkSession, values: np.ndarray) -> Column:
+    """A table of bytes as an array column of one row: a scalar subquery, so that plans name it and do not spell it out."""
+    return spark.createDataFrame(pa.table({"t": pa.array([values.view(np.int8)], pa.list_(pa.int8()))})).scalar()
 
 
-def _rarity(distinct: DataFrame) -> bytes:
-    """A class from 1 (rare) to 127 for each of 2**20 hash slots: 1 MB, from counts over all lines."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
-    words = distinct.select(F.explode(F.split("line", " ")).alias("word"))
-    level = F.least(F.lit(126), F.floor(F.log2(F.col("n").cast("double")) * 5)).cast("int")
-    found = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).select("slot", level.alias("level")).toArrow()
-    classes = np.ones(SLOTS, np.uint8)
-    classes[found["slot"].to_numpy()] += found["level"].to_numpy().astype(np.uint8)
-    return classes.tobytes()
+def _rarity(lines: DataFrame) -> str:
+    """A class for each hash slot, twice the logarithm of its count over all lines."""
+    slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 2).cast("byte")
+    found = words.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where("n > 1").select("slot", level.alias("level")).toArrow()
+    classes = np.zeros(SLOTS, np.int8)
+    classes[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return " ".join(map(str, classes.tolist()))
 
 
-def _prefixes(distinct: DataFrame, rarity: bytes) -> DataFrame:
-    """(at, n, prefix, few): word-set size and the rarest words as sortable longs; few is a set of 1 to ALONE words."""
+def _ranked(rarity: str, h: Column) -> Column:
+    """A word's hash as a long that grows with its class.  The table is a constant of the plan, as lambdas take no subquery."""
+    level = F.get(F.split(F.lit(rarity), " ").cast("array<tinyint>"), h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+    return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def ranked(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(_byte(rarity, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    ordered = distinct.select("at", "line", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("line", " "), ranked), ranked(F.lit(""))))).alias("words"))
-    sized = ordered.select("at", "line", F.size("words").alias("n"), "words")
+def _parity(words: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it by their upper bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(w, 58).cast("int"))))
+
+
+def _coded(lines: DataFrame, rarity: str) -> DataFrame:
+    """(at, a, b, n, few, prefix, even, odd) of each line: text hashes, word-set size, the set itself if it has 1 to ALONE words,
+    the rarest words as longs (class, then hash), and parity bits."""
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("hashes")
+    rows = lines.select("at", "line", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"), hashes)
+    size = F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 2 as int)")
+    prefix = F.slice(F.sort_array(F.transform("hashes", lambda h: _ranked(rarity, h))), F.lit(1), size).alias("prefix")
+    quarter = F.filter("hashes", lambda h: h.bitwiseAND(F.lit(3)) == 0).alias("quarter")
+    rows = rows.select("*", F.size("hashes").alias("n"), quarter)
     few = F.when(F.col("n").between(1, ALONE), F.array_sort(_words("line"))).alias("few")
-    return sized.select("at", "n", few, F.slice("words", F.lit(1), F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + {SHARE} as int)")).alias("prefix"))
+    even = _parity(F.filter("quarter", lambda h: h.bitwiseAND(F.lit(4)) == 0)).alias("even")
+    odd = _parity(F.filter("quarter", lambda h: h.bitwiseAND(F.lit(4)) != 0)).alias("odd")
+    return rows.select("at", "a", "b", "n", few, prefix, even, odd)
 
 
 def _same_sets(sets: DataFrame) -> DataFrame:
@@ -98,65 +118,74 @@ def _same_sets(sets: DataFrame) -> DataFrame:
     return sets.select("at").join(first, "at", "left_anti")
 
 
-def _sketch(keys: DataFrame) -> bytes:
-    """FLAGS flags of the long column h."""
-    at = F.pmod(F.col("h"), F.lit(FLAGS))
-    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("f")).collect()
+def _sketch(ats: DataFrame) -> Column:
+    """FLAGS flags of the column at, by hash, as bytes."""
+    place = F.xxhash64("at").bitwiseAND(F.lit(FLAGS - 1))
+    rows = ats.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("f")).collect()
     flags = np.zeros(FLAGS, np.uint8)
     for b, f in rows:
         numbers = np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8), bitorder="little"))
         flags[numbers + ((b - 1) * 32768 + 1 if b > 0 else 0)] = 1
-    return (flags.reshape(-1, 7) << np.arange(7, dtype=np.uint8)).sum(1).astype(np.uint8).tobytes()
+    return _held(ats.sparkSession, np.packbits(flags, bitorder="little"))
+
 
+def _may_hold(sketch: Column) -> Column:
+    place = F.xxhash64("at").bitwiseAND(F.lit(FLAGS - 1)).cast("int")
+    byte = F.get(sketch, F.shiftright(place, 3)).cast("int")
+    return F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
 
-def _may_hold(sketch: bytes, h: Column) -> Column:
-    at = F.pmod(h, F.lit(FLAGS))
-    flags = _byte(sketch, F.floor(at / 7).cast("int"))
-    return F.call_function("shiftright", flags, F.pmod(at, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
+def _from(count: int) -> int:
+    """The least long of a word counted so often, a power of two."""
+    return 2 * (count.bit_length() - 1) << 56
 
-def _by_words(lines: DataFrame) -> DataFrame:
-    return lines.select("at", "n", F.posexplode("prefix").alias("pos", "word"))
+
+def _with_families(lines: DataFrame) -> DataFrame:
+    """Pairs (x, y), one at most for each line x: the earliest line y of the place that most of its word pairs point to."""
+    often = F.filter("prefix", lambda w: w >= F.lit(_from(CROWD)))
+    often = lines.select("at", often.alias("w")).where(F.size("w") > 1)
+    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda w, i: F.xxhash64(w, F.get("w", i + 1)))
+    rows = often.select("at", F.explode(pairs).alias("place"))
+    first = cut(rows.groupBy("place").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y < last").select("place", "y"))
+    met = rows.join(first, "place").where("y < at").groupBy("at", "y").agg(F.count("*").alias("c"))
+    best = met.groupBy("at").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("best"))
+    pairs = cut(best.select(F.col("at").alias("x"), (-F.col("best.y")).alias("y")))
+    drop(first)
+    return pairs
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) of a line and the earliest line of SHARE or more of its prefix words."""
-    pivots = rows.groupBy("word").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y < last").select("word", "y")
-    met = rows.select("word", F.col("at").alias("x")).join(cut(pivots), "word").where("y < x")
-    return met.groupBy("x", "y").agg(F.count("*").alias("c")).where(f"c >= {SHARE}").select("x", "y")
+def _keys(lines: DataFrame, share: int) -> DataFrame:
+    """(key, pos, ...) of each line: the first `share`-th part of its words that may be the rarest common one, with their
+    places, and pairs of the most frequent words (place -1)."""
+    payload = "at", "n", "even", "odd", "open"
+    often, told = F.lit(_from(OFTEN)), F.lit(_from(2))
+    limit = F.expr(f"cast(n - ({share} * n + {share}) div {share + 1} + 1 as int)")
+    single = lines.select(*payload, F.posexplode(F.slice("prefix", F.lit(1), limit)).alias("pos", "key")).where((F.col("key") >= told) & (F.col("key") < often))
+    w = F.filter("prefix", lambda x: x >= often)
+    two = lines.select(*payload, w.alias("w")).where(F.size("w") > 1)
+    each = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b: F.xxhash64(a, b))))
+    pairs = two.select(*payload, F.lit(-1).alias("pos"), F.explode(each).alias("key"))
+    return single.unionByName(pairs)
 
 
-def _with_all(open_: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (x, y) of an open line and any earlier line that pass the prefix, length and positional filters.
+def _with_all(lines: DataFrame) -> DataFrame:
+    """Pairs (x, y) of an open line and any earlier line that pass the prefix, length, positional and parity filters.
 
-    The words are dealt with in PASSES shares, so that only a share of the prefix rows is on disk at a time.
+    Of a pair, the smaller set s needs its first n / 9 words only, the larger one, l, its first n / 5.
     """
-    need = f"(({NUM} * (xn + yn) + {NUM + DEN - 1}) div {NUM + DEN})"
-    length = f"{DEN} * yn >= {NUM} * xn and {DEN} * xn >= {NUM} * yn"
-    place = f"xp < xn - {need} + {SHARE} and yp < yn - {need} + {SHARE}"
-    parts = []
-    for share in range(PASSES):
-        own = F.pmod(F.col("word"), F.lit(PASSES)) == share
-        x = _by_words(open_).where(own).select("word", F.col("at").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
-        y = _by_words(lines).where(own).select("word", F.col("at").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
-        met = x.join(y, "word").where(f"y < x and {length} and {place}")
-        parts.append(cut(met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.expr(need)).alias("need"))))
-        free_shuffles(lines.sparkSession)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    counted = every.groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
-    pairs = cut(counted.where(f"c >= least({SHARE}, need)").select("x", "y"))
-    drop(*parts)
-    return pairs
+    s, l = (_keys(lines, share).select("key", *(F.col(c).alias(side + c) for c in ("at", "n", "pos", "even", "odd", "open"))) for side, share in (("s", 2 * NUM), ("l", NUM)))
+    need = f"(({NUM} * (sn + ln) + {NUM + DEN - 1}) div {NUM + DEN})"
+    length = f"(sn < ln or sn = ln and sat < lat) and {DEN} * sn >= {NUM} * ln"
+    place = f"spos < sn - {need} + 1 and lpos < ln - {need} + 1 and least(sn - spos, ln - lpos) + least(spos, lpos) >= {need}"
+    parity = f"bit_count(seven ^ leven) + bit_count(sodd ^ lodd) <= sn + ln - 2 * {need}"
+    met = s.join(l, "key").where(f"{length} and {place} and if(sat > lat, sopen, lopen) and {parity}")
+    return cut(met.select(F.greatest("sat", "lat").alias("x"), F.least("sat", "lat").alias("y")).distinct())
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(at) of the later lines of pairs whose word sets overlap enough."""
-    pairs = cut(pairs)
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(at) of the later lines of stored pairs whose word sets overlap enough."""
     ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct())
-    may = _may_hold(_sketch(ends.select(F.xxhash64("at").alias("h"))), F.xxhash64("at"))
-    words = cut(distinct.where(may).join(ends, "at", "left_semi").select("at", _words("line").alias("words")))
+    words = cut(lines.where(_may_hold(_sketch(ends))).join(ends, "at", "left_semi").select("at", _words("line").alias("words")))
     met = pairs.join(words.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x")
     met = met.join(words.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
@@ -175,22 +204,24 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     lines, bits = _places(docs, id_col, text_col, few)
-    first = lines.groupBy(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b")).agg(F.min(F.struct("at", "line")).alias("l"))
-    distinct = cut(first.select("l.at", "l.line"))
-    free_shuffles(spark)
-    copies = cut(lines.select("at").join(distinct.select("at"), "at", "left_anti"))
+    coded = cut(_coded(lines, _rarity(lines)))
     free_shuffles(spark)
-
-    stored = cut(_prefixes(distinct, _rarity(distinct)))
+    first = coded.groupBy("a", "b").agg(F.min(F.struct("at", "n", "few", "prefix", "even", "odd")).alias("l"))
+    stored = cut(first.select("l.*"))
     free_shuffles(spark)
+    copies = cut(coded.select("at").join(stored.select("at"), "at", "left_anti"))
+    drop(coded)
     same = cut(_same_sets(stored.where("few is not null").select("at", "few")))
-    prefixes = stored.where("few is null").select("at", "n", "prefix")
-    decided = _verified(_with_pivots(_by_words(prefixes)), distinct)
     free_shuffles(spark)
-    found = _verified(_with_all(cut(prefixes.join(decided, "at", "left_anti")), prefixes), distinct)
+
+    sets = stored.where(f"n > {ALONE}").select("at", "n", "prefix", "even", "odd")
+    decided = _verified(_with_families(sets), lines)
+    free_shuffles(spark)
+    closed = decided.select("at", F.lit(False).alias("open"))
+    found = _verified(_with_all(sets.join(closed, "at", "left").withColumn("open", F.coalesce("open", F.lit(True)))), lines)
     every = copies.union(same).union(decided).union(found)
     removed = cut(every.select(F.shiftright("at", bits).alias("doc"), F.expr(f"cast(at & {(1 << bits) - 1} as int)").alias("line_no")))
-    drop(distinct, stored, copies, same, decided, found)
+    drop(stored, copies, same, decided, found)
     free_shuffles(spark)
     return removed
 
