@@ -514,3 +514,19 @@ def test_line_dedup_of_short_lines(spark, docs, odd, none, tmp_path):
     assert got == want
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df.withColumn("n_chars", F.lit(0)), "").collect()}
     assert sum(t.split("\n").count("All rights reserved.") for t in left.values() if t) == 1
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(200)], {}
+    edits = [word() for _ in range(6)]
+    for number in range(80):
+        own = list(base)
+        for _ in range(rng.choice([2, 4, 5])):
+            own[rng.randrange(len(own))] = rng.choice(edits) if rng.random() < 0.5 else word()
+        texts[number] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _classes(texts)
+    assert 10 < len(set(want.values())) < 80
+    assert {r.doc_id: r["class"] for r in neardup.near_duplicates(df).collect()} == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,17 +22,20 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(edges)
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        handed = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(handed.union(low).where("u <> v").distinct())
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        handed = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = cut(handed.union(low).where("u <> v").distinct())
+        drop(edges, large)
+        edges = small
         after = _state(edges)
         if after == before:
             break
         before = after
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    out = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    drop(edges)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

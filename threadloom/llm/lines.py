@@ -7,10 +7,10 @@ removed itself; the result so depends on no order of work.  Blank lines (white s
 1. Word counts, over all lines, in SLOTS hash slots give each word a rarity class; a line's words are ordered by class and
    hash, the rarest first.  Any common order makes the join exact; this one makes it cheap.
 2. Equal lines meet by a 128-bit hash, pre-aggregated; the earliest one goes on, as its word count, its rarest words and
-   128 parity bits of a fixed quarter of all words.
-3. Families.  Neighbours among a line's rarest words, words that few lines have left aside, name a place; a line is compared
-   with the earliest line of the place that most of its pairs point to.  That decides the members of large groups of
-   near-equal lines with one comparison each, and no other line is touched by it.
+   128 parity bits of all words.
+3. Families.  Neighbours among a line's words of least hash name a place; a line is compared with a few early lines that
+   share two of its places or more.  That decides the members of large groups of near-equal lines with PIVOTS comparisons
+   each, and few other lines are touched by it.
 4. Prefix filter.  Two lines of n and m words with overlap 0.8 have o = ceil((n + m) 0.8 / 1.8) words in common, so the
    rarest of these is among the first n - o + 1 of the one and m - o + 1 of the other.  All undecided lines meet all earlier
    ones by it, under length and positional filters and the parity filter: more than n + m - 2 o differing bits, more than
@@ -36,12 +36,16 @@ NUM, DEN = 4, 5
 FEW = 5
 #: Sets of n and n + 1 words can match only if n (DEN - NUM) >= NUM; below that, only equal sets do.
 ALONE = (NUM - 1) // (DEN - NUM)
-#: Slots of the word counts; 2 MB whatever the size of the corpus.
-SLOTS = 1 << 21
+#: Slots of the word counts; 1 MB whatever the size of the corpus.
+SLOTS = 1 << 20
 #: Flags of the sketch that thins out scans; 1 MB whatever it is built from.
 FLAGS = 1 << 23
-#: Words counted so often name families; words counted OFTEN only meet in pairs.
-CROWD, OFTEN = 1 << 5, 1 << 12
+#: Words counted OFTEN only meet in pairs.
+OFTEN = 1 << 12
+#: Pairs of neighbours among the words of least hash that name a line's places.
+PLACES = 5
+#: Lines of a place that the others are compared with.
+PIVOTS = 4
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,18 +102,17 @@ def _parity(words: Column) -> Column:
 
 
 def _coded(lines: DataFrame, rarity: str) -> DataFrame:
-    """(at, a, b, n, few, prefix, even, odd) of each line: text hashes, word-set size, the set itself if it has 1 to ALONE words,
-    the rarest words as longs (class, then hash), and parity bits."""
+    """(at, a, b, n, few, prefix, least, even, odd) of each line: text hashes, word-set size, the set itself if it has 1 to
+    ALONE words, the rarest words as longs (class, then hash), the words with the least hashes, and parity bits."""
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("hashes")
     rows = lines.select("at", "line", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"), hashes)
     size = F.expr(f"cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 2 as int)")
     prefix = F.slice(F.sort_array(F.transform("hashes", lambda h: _ranked(rarity, h))), F.lit(1), size).alias("prefix")
-    quarter = F.filter("hashes", lambda h: h.bitwiseAND(F.lit(3)) == 0).alias("quarter")
-    rows = rows.select("*", F.size("hashes").alias("n"), quarter)
+    halves = [F.filter("hashes", lambda h: h.bitwiseAND(F.lit(1)) == 0).alias("half0"), F.filter("hashes", lambda h: h.bitwiseAND(F.lit(1)) != 0).alias("half1")]
+    rows = rows.select("*", F.size("hashes").alias("n"), *halves)
     few = F.when(F.col("n").between(1, ALONE), F.array_sort(_words("line"))).alias("few")
-    even = _parity(F.filter("quarter", lambda h: h.bitwiseAND(F.lit(4)) == 0)).alias("even")
-    odd = _parity(F.filter("quarter", lambda h: h.bitwiseAND(F.lit(4)) != 0)).alias("odd")
-    return rows.select("at", "a", "b", "n", few, prefix, even, odd)
+    least = F.slice(F.sort_array("half0"), 1, PLACES + 1).alias("least")
+    return rows.select("at", "a", "b", "n", few, prefix, least, _parity(F.col("half0")).alias("even"), _parity(F.col("half1")).alias("odd"))
 
 
 def _same_sets(sets: DataFrame) -> DataFrame:
@@ -141,15 +144,16 @@ def _from(count: int) -> int:
 
 
 def _with_families(lines: DataFrame) -> DataFrame:
-    """Pairs (x, y), one at most for each line x: the earliest line y of the place that most of its word pairs point to."""
-    often = F.filter("prefix", lambda w: w >= F.lit(_from(CROWD)))
-    often = lines.select("at", often.alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda w, i: F.xxhash64(w, F.get("w", i + 1)))
-    rows = often.select("at", F.explode(pairs).alias("place"))
-    first = cut(rows.groupBy("place").agg(F.min("at").alias("y"), F.max("at").alias("last")).where("y < last").select("place", "y"))
-    met = rows.join(first, "place").where("y < at").groupBy("at", "y").agg(F.count("*").alias("c"))
-    best = met.groupBy("at").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("best"))
-    pairs = cut(best.select(F.col("at").alias("x"), (-F.col("best.y")).alias("y")))
+    """Pairs (x, y), PIVOTS at most for each line x: the earliest lines y, one for each salt, of the places that most of its
+    word pairs point to."""
+    pairs = F.transform(F.slice("least", F.lit(1), F.size("least") - 1), lambda w, i: F.xxhash64(w, F.get("least", i + 1)))
+    rows = lines.where(F.size("least") > 1).select("at", F.explode(pairs).alias("place"))
+    salt = F.pmod(F.xxhash64("at"), F.lit(PIVOTS)).alias("salt")
+    first = rows.groupBy("place", salt).agg(F.min("at").alias("y"), F.count("*").alias("c"))
+    first = cut(first.groupBy("place").agg(F.collect_list("y").alias("y"), F.sum("c").alias("c")).where("c > 1").select("place", "y"))
+    met = rows.join(first, "place").select("at", F.explode("y").alias("y")).where("y < at").groupBy("at", "y").agg(F.count("*").alias("c"))
+    best = met.where("c > 1").groupBy("at").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "y"))).alias("best"))
+    pairs = cut(best.select(F.col("at").alias("x"), F.explode(F.slice("best.y", 1, PIVOTS)).alias("y")))
     drop(first)
     return pairs
 
@@ -206,7 +210,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines, bits = _places(docs, id_col, text_col, few)
     coded = cut(_coded(lines, _rarity(lines)))
     free_shuffles(spark)
-    first = coded.groupBy("a", "b").agg(F.min(F.struct("at", "n", "few", "prefix", "even", "odd")).alias("l"))
+    first = coded.groupBy("a", "b").agg(F.min(F.struct("at", "n", "few", "prefix", "least", "even", "odd")).alias("l"))
     stored = cut(first.select("l.*"))
     free_shuffles(spark)
     copies = cut(coded.select("at").join(stored.select("at"), "at", "left_anti"))
@@ -214,7 +218,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = cut(_same_sets(stored.where("few is not null").select("at", "few")))
     free_shuffles(spark)
 
-    sets = stored.where(f"n > {ALONE}").select("at", "n", "prefix", "even", "odd")
+    sets = stored.where(f"n > {ALONE}").select("at", "n", "prefix", "least", "even", "odd")
     decided = _verified(_with_families(sets), lines)
     free_shuffles(spark)
     closed = decided.select("at", F.lit(False).alias("open"))

@@ -14,18 +14,20 @@ components of the links.
 * Equal texts are one node from the start, so copies never meet each other.
 * Meeting texts are verified exactly, but not in all pairs.  A shingle that no other meeting text has cannot be shared, so
   a text of n shingles, r of them not its own alone, can only be linked to one of m, q if min(r, q) >= (n + m) 0.8 / 1.8;
-  this sets most edited copies apart without a comparison.  The members of a group are first compared with a few
-  pivots, those with the least share of shingles of their own, which lie nearest to all others.  Then only pairs are left that lie in two components and pass the bound; those are all verified.  So no met link
-  between components is lost, and a large group of near-equal texts costs a few comparisons for each member.
+  this sets most edited copies apart without a comparison.  Each text is then compared with one pivot of another
+  component, TURNS times: the member of most of its groups that has the least share of shingles of its own.  Links between
+  the components that are left are found by an exact prefix join.  So no met link between components is lost, and a
+  large group of near-equal texts costs a few comparisons for each member.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
@@ -38,7 +40,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 LINKED = f"{DEN} * i >= {NUM} * (i + d)"
 BOUND = f"{NUM + DEN} * least(r, q) >= {NUM} * (n + m)"
-PIVOTS = 8
+#: Pivots that a text is compared with, one after the other.
+TURNS = 4
 BANDS = 32
 ROWS = 5
 REGISTERS = BANDS * ROWS
@@ -199,16 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(meets, members)
     free_shuffles(spark)
 
-    salt = F.pmod(F.xxhash64("doc"), F.lit(PIVOTS))
-    pivots = work.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "doc", "n", "r")).alias("p"))
-    pivots = pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"), F.col("p.r").alias("q"))
-    compared = work.join(pivots, "key").where("doc <> pivot").where(BOUND)
-    known = _verify(compared.select(*_ordered("doc", "pivot")).distinct(), elements)
-    links = cut(known.where(LINKED).select("a", "b"))
-    roots = components(links)
-    more = _close(work, roots, known, elements)
+    links, roots = [], None
+    for turn in range(TURNS):
+        judged = _verify(_pivot_pairs(work, roots, turn), elements)
+        links.append(cut(judged.where(LINKED).select("a", "b")))
+        before, roots = roots, components(_all(links))
+        drop(judged, *([before] if before else []))
+    more = _close(work, roots, elements)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        drop(roots)
+        roots = components(_all([*links, more]))
+    drop(*links, more, work, sizes, elements)
+    free_shuffles(spark)
 
     # every text to its node, every node to its class
     placed = full.select("doc", "fp_a", "fp_b").join(node_of, ["fp_a", "fp_b"]).select("doc", "node")
@@ -230,14 +235,55 @@ def _hopeful(members: DataFrame) -> DataFrame:
     return cut(members.join(least, "key").where(f"{NUM + DEN} * r >= {NUM} * (n + m)").select("key", "doc", "n", "r"))
 
 
-def _close(work: DataFrame, roots: DataFrame, known: DataFrame, elements: DataFrame) -> DataFrame:
-    """Links between components: met pairs of two components that pass the bound and were not verified yet."""
-    rooted = cut(work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
-    main = rooted.groupBy("key").agg(F.min_by("root", "doc").alias("main"))
-    apart = rooted.join(main, "key").where("root <> main").select("key", F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("root").alias("other"))
-    pairs = rooted.join(cut(apart), "key").where("root <> other").where(BOUND).select(*_ordered("doc", "pivot")).distinct()
-    judged = _verify(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), elements)
-    return cut(judged.where(LINKED).select("a", "b"))
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, tables)
+
+
+def _rooted(work: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return work.withColumn("root", F.col("doc"))
+    return work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def _pivot_pairs(work: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a, b): every text and one pivot of another component, that of most of its groups.
+
+    A group's pivot of this turn has the least share of shingles of its own among a fixed part of the members.
+    """
+    rooted = _rooted(work, roots)
+    own = F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "doc", "n", "r", "root")).alias("p")
+    pivots = rooted.where(F.pmod(F.xxhash64("doc"), F.lit(TURNS)) == turn).groupBy("key").agg(own)
+    pivots = pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"), F.col("p.r").alias("q"), F.col("p.root").alias("other"))
+    met = rooted.join(pivots, "key").where("root <> other").where(BOUND).groupBy("doc", "pivot").agg(F.count("*").alias("c"))
+    best = met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("pivot")).alias("pivot"))).alias("p")).select("doc", (-F.col("p.pivot")).alias("pivot"))
+    return best.select(*_ordered("doc", "pivot")).distinct()
+
+
+def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
+    """Links between components that the pivots left, by an exact prefix join.
+
+    Of the texts in groups of several components, the shingles of each are ordered by how many of these texts have them.  Two
+    linked texts of n and m shingles, o of them in common, share one among the first n - o + 1 and m - o + 1.  So texts
+    that differ by shingles of their own never meet, however many they are; texts of one component do not meet either.
+    """
+    rooted = _rooted(work, roots)
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = cut(rooted.join(several, "key").select("doc", "n", "root").distinct())
+    each = elements.join(open_, "doc").select("doc", "n", "root", F.explode("elements").alias("e"))
+    counts = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    of_doc = Window.partitionBy("doc")
+    shared = each.join(counts, "e").select("doc", "n", "root", "e", F.row_number().over(of_doc.orderBy("c", "e")).alias("at"), F.count("*").over(of_doc).alias("r"))
+    place = (F.col("n") - F.col("r") + F.col("at")).alias("i")
+    first = cut(shared.select("e", "doc", "n", "root", place).where(f"i <= n - ({NUM} * n + {DEN - 1}) div {DEN} + 1"))
+    main = first.groupBy("e").agg(F.min_by("root", "doc").alias("main"), F.count("*").alias("c")).where("c > 1")
+    apart = first.join(main, "e").where("root <> main").select("e", F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("i").alias("j"))
+    need = f"(({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN})"
+    near = f"{DEN} * n >= {NUM} * m and {DEN} * m >= {NUM} * n and i <= n - {need} + 1 and j <= m - {need} + 1"
+    pairs = first.join(cut(apart), "e").where(f"root <> other and {near}").select(*_ordered("doc", "pivot")).distinct()
+    judged = _verify(pairs, elements)
+    more = cut(judged.where(LINKED).select("a", "b"))
+    drop(open_, first, judged)
+    return more
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
