@@ -130,3 +130,11 @@ def test_empty_and_null(spark):
     assert graph.graph_nodes(none).count() == 0 and graph.graph_json(none).count() == 0
     blank = spark.createDataFrame([(1, 0, None, ""), (1, 1, "user", "")], SCHEMA)
     assert [(n.id, n.role, n.content) for n in graph.graph_nodes(blank).orderBy("node_seq").collect()] == [("t0", None, ""), ("t1", "user", "")]
+
+
+def test_null_content_keeps_its_message(spark):
+    rows = [(1, 0, "user", "partition data"), (1, 1, "assistant", None), (1, 2, "user", "thanks")]
+    items = graph.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, content string"))
+    tasks = {r.id: r.content for r in graph.nodes_of(items).where("type = 'task'").collect()}
+    assert tasks == {"t0": "partition data", "t1": "", "t2": "thanks"}
+    assert graph.edges_of(items).where("relation = 'sequence'").count() == 2

@@ -103,4 +103,5 @@ def stem_words(words: Column | str) -> Column:
         values = stems.take(flat.indices) if len(stems) else pa.array([], pa.string())
         return pa.ListArray.from_arrays(offsets, values, mask=rows.is_null() if rows.null_count else None)
 
-    return run(words)
+    # not to be evaluated again for filters that Spark infers below an explode
+    return run.asNondeterministic()(words)

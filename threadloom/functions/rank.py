@@ -64,7 +64,7 @@ def rank_stems(stems: Column | str, window: int = WINDOW) -> Column:
         made = [[{"stem": s, "score": x} for s, x in scores(r, window).items()] if r else [] for r in rows.to_pylist()]
         return pa.array(made, pa.list_(pa.struct([("stem", pa.string()), ("score", pa.float64())])))
 
-    return run(stems)
+    return run.asNondeterministic()(stems)
 
 
 def keyword_phrases(words: Column | str, stems: Column | str, top: int = TOP, window: int = WINDOW) -> Column:
@@ -75,4 +75,4 @@ def keyword_phrases(words: Column | str, stems: Column | str, top: int = TOP, wi
         made = [[{"phrase": p, "key": k} for p, k in keywords_of(w or [], s or [], top, window)] for w, s in zip(words_.to_pylist(), stems_.to_pylist(), strict=True)]
         return pa.array(made, pa.list_(pa.struct([("phrase", pa.string()), ("key", pa.string())])))
 
-    return run(words, stems)
+    return run.asNondeterministic()(words, stems)

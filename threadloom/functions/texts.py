@@ -53,9 +53,8 @@ def bold_terms(content: Column | str) -> Column:
 
 def words(content: Column | str) -> Column:
     """Lower-cased runs of ASCII letters, longer than two letters and no stop words."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     found = F.transform(F.regexp_extract_all(content, F.lit("[A-Za-z]+"), 0), F.lower)
-    return F.filter(found, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    return F.filter(found, lambda x: (F.length(x) > 2) & ~x.isin(*dict.fromkeys(STOP_WORDS)))
 
 
 def tokens(content: Column | str) -> Column:

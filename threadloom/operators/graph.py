@@ -17,8 +17,9 @@ _ITEM = "struct<kind:int,ord:int,language:string,content:string,key:string>"
 
 
 def message_items(messages: DataFrame) -> DataFrame:
-    """One row for each task, code block, link and keyword of each message, in order of emission."""
-    parsed = messages.select("conv_id", "turn", "role", "content", texts.tokens("content").alias("t"))
+    """One row for each task, code block, link and keyword of each message, in order of emission; a null content is empty."""
+    content = F.coalesce("content", F.lit("")).alias("content")
+    parsed = messages.select("conv_id", "turn", "role", content).select("*", texts.tokens("content").alias("t"))
     parsed = parsed.withColumn("keywords", keyword_phrases(F.col("t.word"), F.col("t.stem")))
     null = F.lit(None).cast("string")
 
@@ -31,7 +32,8 @@ def message_items(messages: DataFrame) -> DataFrame:
     link = listed(texts.links("content"), 2, none, lambda x: x, none)
     word = listed(F.col("keywords"), 3, none, lambda x: x["phrase"], lambda x: x["key"])
     items = F.concat(*[x.cast(f"array<{_ITEM}>") for x in (task, code, link, word)])
-    return parsed.select("conv_id", "turn", F.nullif("role", F.lit("")).alias("role"), F.explode(items).alias("item")).select("conv_id", "turn", "role", "item.*")
+    listed_ = parsed.select("conv_id", "turn", F.nullif("role", F.lit("")).alias("role"), items.alias("items"))
+    return listed_.select("conv_id", "turn", "role", F.explode("items").alias("item")).select("conv_id", "turn", "role", "item.*")
 
 
 def numbered(messages: DataFrame) -> DataFrame:

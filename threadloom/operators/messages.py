@@ -14,7 +14,7 @@ KEY = ("conv_id", "turn")
 
 def explode_list(df: DataFrame, items: Column, names: tuple[str, ...], key=KEY, at: str = "ord") -> DataFrame:
     """One row for each entry of an array, with its place, a long from 0."""
-    rows = df.select(*key, F.posexplode(items).alias(at, "__item"))
+    rows = df.select(*key, items.alias("__items")).select(*key, F.posexplode("__items").alias(at, "__item"))
     fields = [F.col("__item").alias(names[0])] if len(names) == 1 else [F.col(f"__item.{n}").alias(n) for n in names]
     return rows.select(*key, F.col(at).cast("long").alias(at), *fields)
 
@@ -47,7 +47,7 @@ def tokens(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
 
 def vocabulary_stems(df: DataFrame, text: str = "content") -> DataFrame:
     """Each distinct word of a corpus, stop words aside, with its stem."""
-    found = df.select(F.explode(texts.words(text)).alias("word")).distinct()
+    found = df.select(texts.words(text).alias("words")).select(F.explode("words").alias("word")).distinct()
     return found.select("word", stem_words(F.array("word"))[0].alias("stem"))
 
 
@@ -55,13 +55,13 @@ def cooccurrence(df: DataFrame, key=KEY, text: str = "content", window: int = WI
     """Directed weights of pairs of different stems less than `window` places apart."""
     stems = with_tokens(df, key, text).select(*key, F.posexplode("stems").alias("pos", "src"), "stems")
     near = F.expr(f"slice(stems, pos + 2, {window - 1})")
-    pairs = stems.select(*key, "src", F.explode(near).alias("dst")).where("src <> dst")
+    pairs = stems.select(*key, "src", near.alias("near")).select(*key, "src", F.explode("near").alias("dst")).where("src <> dst")
     both = pairs.select(*key, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("p"))
     return both.groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
 
 
 def textrank_scores(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
-    ranked = with_tokens(df, key, text).select(*key, F.explode(rank_stems("stems", window)).alias("r"))
+    ranked = with_tokens(df, key, text).select(*key, rank_stems("stems", window).alias("all")).select(*key, F.explode("all").alias("r"))
     return ranked.select(*key, "r.stem", "r.score")
 
 
