@@ -530,3 +530,9 @@ def test_near_duplicates_in_a_crowd(spark):
     want = _classes(texts)
     assert 10 < len(set(want.values())) < 80
     assert {r.doc_id: r["class"] for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_sample_is_bounded_for_any_ids(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words that are all the same here").alias("text"))
+    model = quality.fit(df, sample=50)
+    assert set(model.posteriors) and np.isfinite(model.weights).all()

@@ -14,15 +14,14 @@ components of the links.
 * Equal texts are one node from the start, so copies never meet each other.
 * Meeting texts are verified exactly, but not in all pairs.  A shingle that no other meeting text has cannot be shared, so
   a text of n shingles, r of them not its own alone, can only be linked to one of m, q if min(r, q) >= (n + m) 0.8 / 1.8;
-  this sets most edited copies apart without a comparison.  Each text is then compared with one pivot of another
-  component, TURNS times: the member of most of its groups that has the least share of shingles of its own.  Links between
-  the components that are left are found by an exact prefix join.  So no met link between components is lost, and a
+  this sets most edited copies apart without a comparison.  Each text is then compared with PIVOTS others, members of
+  most of its groups that have the least share of shingles of their own.  Links between the components that are left are
+  found by an exact prefix join.  So no met link between components is lost, and a
   large group of near-equal texts costs a few comparisons for each member.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -40,8 +39,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 LINKED = f"{DEN} * i >= {NUM} * (i + d)"
 BOUND = f"{NUM + DEN} * least(r, q) >= {NUM} * (n + m)"
-#: Pivots that a text is compared with, one after the other.
-TURNS = 4
+#: Pivots that a text is compared with.
+PIVOTS = 4
 BANDS = 32
 ROWS = 5
 REGISTERS = BANDS * ROWS
@@ -202,17 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(meets, members)
     free_shuffles(spark)
 
-    links, roots = [], None
-    for turn in range(TURNS):
-        judged = _verify(_pivot_pairs(work, roots, turn), elements)
-        links.append(cut(judged.where(LINKED).select("a", "b")))
-        before, roots = roots, components(_all(links))
-        drop(judged, *([before] if before else []))
+    judged = _verify(_pivot_pairs(work), elements)
+    links = cut(judged.where(LINKED).select("a", "b"))
+    roots = components(links)
     more = _close(work, roots, elements)
     if not more.isEmpty():
         drop(roots)
-        roots = components(_all([*links, more]))
-    drop(*links, more, work, sizes, elements)
+        roots = components(links.union(more))
+    drop(judged, links, more, work, sizes, elements)
     free_shuffles(spark)
 
     # every text to its node, every node to its class
@@ -235,28 +231,17 @@ def _hopeful(members: DataFrame) -> DataFrame:
     return cut(members.join(least, "key").where(f"{NUM + DEN} * r >= {NUM} * (n + m)").select("key", "doc", "n", "r"))
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.union, tables)
+def _pivot_pairs(work: DataFrame) -> DataFrame:
+    """Pairs (a, b): every text and PIVOTS texts at most, the pivots of most of its groups.
 
-
-def _rooted(work: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return work.withColumn("root", F.col("doc"))
-    return work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-
-
-def _pivot_pairs(work: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b): every text and one pivot of another component, that of most of its groups.
-
-    A group's pivot of this turn has the least share of shingles of its own among a fixed part of the members.
+    The pivots of a group are the members with the least share of shingles of their own, one of each salt.
     """
-    rooted = _rooted(work, roots)
-    own = F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "doc", "n", "r", "root")).alias("p")
-    pivots = rooted.where(F.pmod(F.xxhash64("doc"), F.lit(TURNS)) == turn).groupBy("key").agg(own)
-    pivots = pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"), F.col("p.r").alias("q"), F.col("p.root").alias("other"))
-    met = rooted.join(pivots, "key").where("root <> other").where(BOUND).groupBy("doc", "pivot").agg(F.count("*").alias("c"))
-    best = met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("pivot")).alias("pivot"))).alias("p")).select("doc", (-F.col("p.pivot")).alias("pivot"))
-    return best.select(*_ordered("doc", "pivot")).distinct()
+    own = F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "doc", "n", "r")).alias("p")
+    pivots = work.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)).alias("salt")).agg(own)
+    pivots = pivots.select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("m"), F.col("p.r").alias("q"))
+    met = work.join(pivots, "key").where("doc <> pivot").where(BOUND).groupBy("doc", "pivot").agg(F.count("*").alias("c"))
+    best = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "pivot"))).alias("best"))
+    return best.select("doc", F.explode(F.slice("best.pivot", 1, PIVOTS)).alias("pivot")).select(*_ordered("doc", "pivot")).distinct()
 
 
 def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
@@ -266,7 +251,7 @@ def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
     linked texts of n and m shingles, o of them in common, share one among the first n - o + 1 and m - o + 1.  So texts
     that differ by shingles of their own never meet, however many they are; texts of one component do not meet either.
     """
-    rooted = _rooted(work, roots)
+    rooted = work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_ = cut(rooted.join(several, "key").select("doc", "n", "root").distinct())
     each = elements.join(open_, "doc").select("doc", "n", "root", F.explode("elements").alias("e"))

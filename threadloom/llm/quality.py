@@ -4,7 +4,8 @@
 2. Texts with the same votes are counted (at most 3**7 patterns, however large the corpus), and expectation-maximisation
    over the patterns estimates each heuristic's accuracies and the share of good texts; no true label is used.
 3. The posterior of its pattern labels each text of a bounded sample, on which a linear scorer over hashed features is
-   fitted.  The sample has about SAMPLE rows, those with the least hash of their id, and is the only bound here.
+   fitted.  The sample has about SAMPLE rows, those with the least hash of id and text, never more than twice as many, and
+   is the only bound here.
 4. The scorer reads every text whole.
 """
 
@@ -21,7 +22,7 @@ from .textbytes import WHITE, chunks, lower, span_hashes, spans
 SAMPLE = 4000
 DIMS = 4096
 KEEP_AT = 0.5
-#: Shares of capitals and word lengths say nothing about texts of fewer words.
+#: Shares of capitals and word lengths of texts of fewer words count as zero, and so as good: the other votes decide them.
 FEW = 12
 
 #: Raw statistic of each heuristic: bad at or above the first number, good below the second, else no vote.
@@ -194,7 +195,8 @@ def _vote_pattern(text: Column | str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Votes of all texts, then the scorer on a bounded sample.
 
-    Texts without words (null, empty, blank) take no part.  An empty table gives a model that scores every text 0.5.
+    Texts without words (null, empty, blank) take no part.  An empty table gives a model that scores every text 0.5.  Rows
+    may repeat and ids may be null or equal; other columns, whatever their names, play no part.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = texts.groupBy(_vote_pattern("text").alias("pattern")).agg(F.count("*").alias("n")).collect()
@@ -214,7 +216,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 pats.append(pattern_of(votes(stats, words)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pats).astype(np.int32) if pats else np.zeros(0, np.int32)), pa.array(made, pa.binary())], ["pattern", "x"])
 
-    chosen = texts.where(F.shiftrightunsigned(F.xxhash64("id"), 2) <= F.lit(bar)).select("text").mapInArrow(sampled, "pattern int, x binary").collect()
+    chosen = texts.where(F.shiftrightunsigned(F.xxhash64("id", "text"), 2) <= F.lit(bar)).select("text")
+    chosen = chosen.mapInArrow(sampled, "pattern int, x binary").limit(2 * sample).collect()
     chosen = [r for r in chosen if r["pattern"] in posteriors]
     x = np.array([np.frombuffer(r["x"], np.float16) for r in chosen], np.float32).reshape(len(chosen), DIMS)
     target = np.array([posteriors[r["pattern"]] for r in chosen], np.float64)
