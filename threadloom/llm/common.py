@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a new local folder."""
+    """The session's spark.checkpoint.dir; only where that is unset on one machine, as in tests, a new local folder."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not told and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not told and app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="threadloom-")
     return told or _LOCAL[app]
