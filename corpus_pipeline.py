@@ -2,18 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and all rows its predecessor kept.  All but the last return the columns of
 documents.  `run` stores each stage's rows as Parquet in the shared checkpoint folder and reads them back for the next.
+
+In every stage: texts that are null, empty or blank go with the first stage (score 0) and pass the others untouched; a text is
+taken whole, however long; equal rows get equal decisions, and of repeated lines and near-duplicates the one with the least
+doc_id stays; an empty table stays empty; columns beside those of documents are kept as they are and play no part.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, lines, neardup, quality, tokens, unigram
-from threadloom.llm.common import table
+from threadloom.llm.common import shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    base = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{base}/pipeline-{uuid.uuid4().hex}/{number}.parquet"
