@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from threadloom.llm import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, suffixes, tokens, unigram
 from threadloom.llm.components import components
+from threadloom.llm.textbytes import chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside under the same names.
@@ -353,6 +355,65 @@ def test_tokens_are_the_library_s(docs, odd, vocabulary, reference):
         assert r.back == (r.text or "").replace("▁", " ")
 
 
+def _model(pieces, **normalizer):
+    """A model of unigram type: (piece, score, kind) besides the unknown piece and two control pieces."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *pieces]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = any(kind == 6 for _, _, kind in pieces)
+    model.normalizer_spec.name = "identity"
+    for name, value in normalizer.items():
+        setattr(model.normalizer_spec, name, value)
+    return model.SerializeToString()
+
+
+def _both(model, texts):
+    """For each text: ids and count of ours, ids of the library."""
+    vocabulary = unigram.parse_vocabulary(model)
+    processor = sentencepiece.SentencePieceProcessor()
+    processor.LoadFromSerializedProto(model)
+    engine = unigram.Engine(vocabulary)
+    with_ids, counting = unigram.Cache(engine, True), unigram.Cache(engine, False)
+    for a, b, data, offs in chunks(pa.array(texts)):
+        ids, bounds = unigram.encode_rows(with_ids, data, offs)
+        counts = unigram.count_rows(counting, data, offs)
+        for i in range(b - a):
+            yield texts[a + i], ids[bounds[i] : bounds[i + 1]].tolist(), int(counts[i]), processor.encode(texts[a + i])
+
+
+_SCORED = [("a", -1.01, 1), ("b", -1.01, 1), ("ab", -2.03, 1), ("▁", -1.5, 1), ("▁a", -2.4, 1), ("ba", -1.9, 1), ("é", -3.3, 1), ("a▁b", -1.7, 1)]
+_BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+_ODD_TEXTS = ["ab", "", " ", "   ", "a   b", "  ab  ba ", "aééb", "xxayy", "日本 日本", "x y", "a\nb\n", "ab ▁ b▁", "▁", "aбвb b", "UVaUVUV b", "ab" * 50]
+
+
+@pytest.mark.parametrize("spare", [[], _BYTES], ids=["unknown", "bytes"])
+@pytest.mark.parametrize("dummy", [True, False])
+@pytest.mark.parametrize("one_space", [True, False])
+def test_tokens_of_files_of_unigram_type(spare, dummy, one_space):
+    model = _model([*_SCORED, ("UV", 0.0, 4), ("q", 0.0, 5), *spare], add_dummy_prefix=dummy, remove_extra_whitespaces=one_space)
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("aabb  éxUVq日\n"), rng.integers(1, 40))) for _ in range(300)]
+    for text, ids, count, want in _both(model, [*_ODD_TEXTS, *made]):
+        assert (ids, count) == (want, len(want)), text
+
+
+def test_tokens_at_random_scores():
+    rng = np.random.default_rng(6)
+    words = {"".join(rng.choice(list("abcd▁"), rng.integers(2, 5))) for _ in range(120)} | set("abcd▁")
+    model = _model([(w, float(-rng.uniform(1, 12)), 1) for w in sorted(words)], remove_extra_whitespaces=False)
+    texts = ["".join(rng.choice(list("abcd "), rng.integers(1, 60))) for _ in range(400)]
+    for text, ids, count, want in _both(model, texts):
+        assert (ids, count) == (want, len(want)), text
+
+
+def test_unsupported_normalisers_are_refused():
+    for settings in ({"precompiled_charsmap": b"x"}, {"escape_whitespaces": False}):
+        with pytest.raises(ValueError, match="not supported"):
+            unigram.parse_vocabulary(_model(_SCORED, **settings))
+
+
 def test_tokens_of_nothing(spark, none, vocabulary):
     assert none.select(tokens.token_count("text", vocabulary), tokens.encode("text", vocabulary)).count() == 0
     ids = spark.createDataFrame([(None,), ([],)], "ids array<int>")

@@ -2,20 +2,23 @@
 
 The vocabulary is that of a SentencePiece model file, a parameter; nothing is trained.  For a file of unigram type the
 piece scores are the file's own.  The public file at hand holds merge ranks instead, so its unigram scores are derived
-by a fixed rule, -ln(rank + 2), rank being the place among the ordinary pieces.  All scores are rounded to multiples of
-1/16 and summed as integers: sums are exact and do not depend on where a text is cut, which lets every distinct unit of
-a task be solved once.  (A library that adds 32-bit floats gives the same result as long as its sums stay exact, which
-holds for best scores down to -2**20.)
+by a fixed rule, -ln(rank + 2), rank being the place among the ordinary pieces, rounded to multiples of 1/16.  Scores are
+summed as integers, multiples of 2**-30: sums are exact and do not depend on where a text is cut, which lets every
+distinct unit of a task be solved once.  A library that adds 32-bit floats gives the same ids unless its own rounding
+decides between paths whose true scores are equal or closer than its last digit; for scores in sixteenths it has none.
 
 Search rules, those of the public SentencePiece unigram tokenizer:
 
 * a dummy space is put before a text that is not empty; spaces are the symbol U+2581 (here the byte 0x20); a literal
   U+2581 in a text counts as a space, too;
-* only ordinary pieces are searched; control and byte pieces never match a text;
+* only ordinary and user-defined pieces are searched, control, unused and byte pieces never match a text; a user-defined
+  piece has the score (its UTF-8 length * highest ordinary score - 0.1);
 * a position keeps the first candidate that reaches its best score, candidates being tried by growing start, so of
   equal paths the one whose last piece is longest stays;
 * a character that is no piece itself may be an unknown symbol at (lowest score - 10); it is then written as the byte
-  pieces of its UTF-8 form, one token for each byte.
+  pieces of its UTF-8 form, one token for each byte; without byte pieces, a run of such characters is one unknown token;
+* of the file's normaliser, the dummy space and the removal of extra spaces are done as it says; a file that maps
+  characters, keeps spaces unescaped or puts them behind words is refused.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ import numpy as np
 
 from .textbytes import mix, span_hashes
 
-SCALE = 16
+#: Scores are kept as multiples of 1 / SCALE, derived ones as multiples of 1 / COARSE.
+SCALE = 1 << 30
+COARSE = 16
 NEG = -(1 << 60)
 _SPACE = " "
 
@@ -65,11 +70,13 @@ def _fields(buf: bytes):
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces of a model file.  kinds: 1 ordinary, 2 unknown, 3 control, 4 user-defined, 6 byte.  scores: times 16."""
+    """Pieces of a model file.  kinds: 1 ordinary, 2 unknown, 3 control, 4 user-defined, 6 byte.  scores: times SCALE."""
 
     pieces: tuple[bytes, ...]
     scores: np.ndarray
     kinds: np.ndarray
+    dummy_prefix: bool = True
+    one_space: bool = False
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -79,7 +86,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 def parse_vocabulary(model: bytes) -> Vocabulary:
-    pieces, scores, kinds, model_type = [], [], [], 1
+    pieces, scores, kinds, trainer, normalizer = [], [], [], {}, {}
     for number, value in _fields(model):
         if number == 1:
             piece = dict(_fields(value))
@@ -87,13 +94,20 @@ def parse_vocabulary(model: bytes) -> Vocabulary:
             scores.append(np.frombuffer(piece[2], "<f4")[0] if 2 in piece else 0.0)
             kinds.append(piece.get(3, 1))
         elif number == 2:
-            model_type = dict(_fields(value)).get(3, 1)
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    if normalizer.get(2) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("a vocabulary that maps characters, keeps spaces unescaped or puts them behind words is not supported")
     kinds_ = np.array(kinds, np.int32)
     exact = np.array(scores, np.float64)
-    if model_type != 1:  # merge ranks
-        ordinary = np.flatnonzero(kinds_ == 1)
-        exact[ordinary] = [-math.log(rank + 2) for rank in range(len(ordinary))]
-    return Vocabulary(tuple(pieces), np.rint(exact * SCALE).astype(np.int64), kinds_)
+    ordinary = np.flatnonzero(kinds_ == 1)
+    if trainer.get(3, 1) != 1:  # merge ranks
+        exact[ordinary] = [round(-math.log(rank + 2) * COARSE) / COARSE for rank in range(len(ordinary))]
+    highest = exact[ordinary].max(initial=-math.inf) if len(ordinary) else 0.0
+    for i in np.flatnonzero(kinds_ == 4):
+        exact[i] = (len(pieces[i]) + 2 * pieces[i].count(b" ")) * highest - 0.1
+    return Vocabulary(tuple(pieces), np.rint(exact * SCALE).astype(np.int64), kinds_, bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)))
 
 
 def derived_scores(vocabulary: Vocabulary) -> np.ndarray:
@@ -101,6 +115,10 @@ def derived_scores(vocabulary: Vocabulary) -> np.ndarray:
     return vocabulary.scores / SCALE
 
 
+def _kept(data: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+
+
 class Engine:
     """The automaton as dense arrays, with the searches over many byte strings at once."""
 
@@ -176,7 +194,14 @@ class Engine:
     # -- units -----------------------------------------------------------------------------------------------------
 
     def prepare(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with U+2581 as a space and the dummy space before each text that is not empty."""
+        """Texts with U+2581 as a space, extra spaces removed and a dummy space before each text that is not empty, where the
+        vocabulary asks for these."""
+        if self.vocabulary.one_space:
+            space = data == 32
+            before = np.ones(len(data), bool)
+            before[1:] = space[:-1]
+            before[offs[:-1][np.diff(offs) > 0]] = True
+            data, offs = _kept(data, offs, ~(space & before))
         marks = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
         if len(marks):
             row = np.searchsorted(offs, marks, side="right") - 1
@@ -188,6 +213,13 @@ class Engine:
             data[marks] = 32
             data = data[keep]
             offs = offs - np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offs) - 1) * 2)])
+        if self.vocabulary.one_space and len(data):
+            # the last byte of a row that is no space, and what comes before it
+            last = np.maximum.accumulate(np.where(data != 32, np.arange(len(data)), -1))
+            end = np.where(np.diff(offs) > 0, last[np.maximum(offs[1:] - 1, 0)] + 1, offs[1:])
+            data, offs = _kept(data, offs, np.arange(len(data)) < np.repeat(end, np.diff(offs)))
+        if not self.vocabulary.dummy_prefix:
+            return data, offs
         size = np.diff(offs)
         full = size > 0
         new = np.concatenate([[0], np.cumsum(size + full)])
@@ -322,7 +354,8 @@ class Cache:
     """Solved units of a task by 64-bit hash, up to a number of units; then it starts anew."""
 
     def __init__(self, engine: Engine, want_ids: bool, most: int = 1_500_000):
-        self.engine, self.want_ids, self.most = engine, want_ids, most
+        # runs of unknown characters may cross units, and only ids show them
+        self.engine, self.want_ids, self.most = engine, want_ids or not engine.has_bytes, most
         self._clear()
 
     def _clear(self):
@@ -361,7 +394,7 @@ _ENGINES: dict[int, tuple[Vocabulary, Engine]] = {}
 
 def engine_of(vocabulary: Vocabulary) -> Engine:
     """One automaton per worker process and vocabulary."""
-    key = hash((vocabulary.pieces, vocabulary.scores.tobytes()))
+    key = hash((vocabulary.pieces, vocabulary.scores.tobytes(), vocabulary.kinds.tobytes(), vocabulary.dummy_prefix, vocabulary.one_space))
     if key not in _ENGINES:
         _ENGINES.clear()
         _ENGINES[key] = (vocabulary, Engine(vocabulary))
@@ -382,6 +415,8 @@ def cache_of(vocabulary: Vocabulary, want_ids: bool) -> Cache:
 
 def count_rows(cache: Cache, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Tokens of each row."""
+    if not cache.engine.has_bytes:
+        return np.diff(encode_rows(cache, data, offs)[1])
     data, offs = cache.engine.prepare(data, offs)
     starts, ends = cache.engine.units(data, offs)
     if not len(starts):
@@ -402,7 +437,14 @@ def encode_rows(cache: Cache, data: np.ndarray, offs: np.ndarray) -> tuple[np.nd
     total = np.concatenate([[0], np.cumsum(counts)])
     ids = cache.ids[np.arange(total[-1]) + np.repeat(at - total[:-1], counts)]
     unit_of = np.searchsorted(starts, offs[:-1])
-    return ids, total[np.append(unit_of, len(starts))]
+    bounds = total[np.append(unit_of, len(starts))]
+    if not cache.engine.has_bytes and len(ids):
+        unknown = ids == cache.engine.unk_id
+        again = np.zeros(len(ids), bool)
+        again[1:] = unknown[1:] & unknown[:-1]
+        again[bounds[:-1][np.diff(bounds) > 0]] = False
+        ids, bounds = _kept(ids, bounds, ~again)
+    return ids, bounds
 
 
 def decode_rows(engine: Engine, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +453,7 @@ def decode_rows(engine: Engine, ids: np.ndarray, offs: np.ndarray) -> tuple[np.n
     total = np.concatenate([[0], np.cumsum(size)])
     data = engine.spelled[np.arange(total[-1]) + np.repeat(engine.spelled_at[ids] - total[:-1], size)]
     ends = total[offs]
-    full = np.diff(ends) > 0
+    full = (np.diff(ends) > 0) & engine.vocabulary.dummy_prefix
     drop = ends[:-1][full]
     keep = np.ones(len(data), bool)
     keep[drop] = data[drop] != 32
