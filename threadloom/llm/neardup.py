@@ -250,7 +250,10 @@ def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
     Of the texts in groups of several components, the shingles of each are ordered by how many of these texts have them.  Two
     linked texts of n and m shingles, o of them in common, share one among the first n - o + 1 and m - o + 1.  So texts
     that differ by shingles of their own never meet, however many they are; texts of one component do not meet either.
+    Shingles that the same texts have among their first (most of those of a passage) are one cell, told by two 64-bit sums
+    over its texts, so a pair meets once for each such set and not once for each shingle.
     """
+    cell = ["s", "t"]
     rooted = work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_ = cut(rooted.join(several, "key").select("doc", "n", "root").distinct())
@@ -260,14 +263,18 @@ def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
     shared = each.join(counts, "e").select("doc", "n", "root", "e", F.row_number().over(of_doc.orderBy("c", "e")).alias("at"), F.count("*").over(of_doc).alias("r"))
     place = (F.col("n") - F.col("r") + F.col("at")).alias("i")
     first = cut(shared.select("e", "doc", "n", "root", place).where(f"i <= n - ({NUM} * n + {DEN - 1}) div {DEN} + 1"))
-    main = first.groupBy("e").agg(F.min_by("root", "doc").alias("main"), F.count("*").alias("c")).where("c > 1")
-    apart = first.join(main, "e").where("root <> main").select("e", F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("i").alias("j"))
+    hashes = [F.bit_xor(F.xxhash64("doc", F.lit(seed))).alias(name) for seed, name in enumerate(cell)]
+    several = first.groupBy("e").agg(*hashes, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e", *cell)
+    cells = cut(first.join(several, "e").groupBy(*cell, "doc").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("root").alias("root")))
+    main = cells.groupBy(*cell).agg(F.min_by("root", "doc").alias("main"))
+    apart = cells.join(main, cell).where("root <> main").select(*cell, F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("i").alias("j"))
+    apart = cut(apart)
     need = f"(({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN})"
     near = f"{DEN} * n >= {NUM} * m and {DEN} * m >= {NUM} * n and i <= n - {need} + 1 and j <= m - {need} + 1"
-    pairs = first.join(cut(apart), "e").where(f"root <> other and {near}").select(*_ordered("doc", "pivot")).distinct()
+    pairs = cells.join(apart, cell).where(f"root <> other and {near}").select(*_ordered("doc", "pivot")).distinct()
     judged = _verify(pairs, elements)
     more = cut(judged.where(LINKED).select("a", "b"))
-    drop(open_, first, judged)
+    drop(open_, first, cells, apart, judged)
     return more
 
 
