@@ -17,22 +17,28 @@ BITS = 23
 class Sketch:
     """2**bits flags by hash; broadcast to the tasks."""
 
-    def __init__(self, flags: Broadcast, bits: int):
-        self.flags, self.bits = flags, bits
+    def __init__(self, flags: Broadcast, bits: int, probes: int = 1):
+        self.flags, self.bits, self.probes = flags, bits, probes
 
     def lets_through(self, hashes: np.ndarray) -> np.ndarray:
-        """Flags for uint64 hashes, by their highest bits."""
-        at = hashes >> np.uint64(64 - self.bits)
+        """Flags for uint64 hashes, by their highest bits; with two probes, by their lowest bits, too."""
         packed = np.frombuffer(self.flags.value, np.uint8)
-        return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        flag = lambda at: (packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        found = flag(hashes >> np.uint64(64 - self.bits))
+        if self.probes > 1:
+            some = np.flatnonzero(found)
+            found[some] = flag(hashes[some] & np.uint64((1 << self.bits) - 1))
+        return found
 
 
-def sketch(hashes: DataFrame, col: str, bits: int = BITS) -> Sketch:
+def sketch(hashes: DataFrame, col: str, bits: int = BITS, probes: int = 1) -> Sketch:
     """The sketch of a long column of hashes (nulls take no part); 2**bits / 8 bytes reach the driver in all."""
     at = F.shiftrightunsigned(F.col(col), 64 - bits)
+    given = hashes.where(F.col(col).isNotNull())
+    if probes > 1:
+        given, at = given.select(F.explode(F.array(at, F.col(col).bitwiseAND(F.lit((1 << bits) - 1)))).alias("at")), F.col("at")
     rows = (
-        hashes.where(F.col(col).isNotNull())
-        .groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+        given.groupBy(F.bitmap_bucket_number(at).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("flags"))
         .collect()
     )
@@ -43,7 +49,7 @@ def sketch(hashes: DataFrame, col: str, bits: int = BITS) -> Sketch:
         numbers = np.flatnonzero(flags) + ((row["bucket"] - 1) * 32768 + 1 if row["bucket"] > 0 else 0)
         np.bitwise_or.at(packed, numbers >> 3, (1 << (numbers & 7)).astype(np.uint8))
     context = hashes.sparkSession.sparkContext
-    return Sketch(context.broadcast(packed.tobytes()), bits)
+    return Sketch(context.broadcast(packed.tobytes()), bits, probes)
 
 
 def thin(df: DataFrame, key: Column, members: Sketch) -> DataFrame:

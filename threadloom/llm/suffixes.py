@@ -12,8 +12,10 @@ the samples are found first, and the remaining suffixes get theirs from the samp
 3. Recursion.  A sample stands for the run of suffixes whose least triple it is; the run is named by the names of its
    first and last string, which together cover all its bytes.  If all runs of a triple have one name, the run's class is
    settled as a whole: every document but the least has it removed.
-4. Remaining suffixes.  Where a triple's runs differ, each suffix of the run gets its own name, and the least document of
-   each name is found in the same way.
+4. Remaining suffixes.  Where a triple's runs differ, the strings of a run are parted in four by how far they reach to the
+   left of the triple.  All strings of a part hold the same CORE bytes around it, so only those can be shared whose core a
+   run of another document has, too.  Each suffix of such parts gets its own name, and the least document of each name is
+   found in the same way.
 5. Adjacent and overlapping prefixes are merged to maximal spans.
 
 Names are 64-bit hashes (a run's is taken with its triple's, 128 bits in all) where the textbook ranks names by sorting:
@@ -35,8 +37,10 @@ from .textbytes import chunks, mix
 LENGTH = 50
 TRIPLE = 24
 SPAN = LENGTH - TRIPLE + 1
+#: Parts of a run: the bytes that its strings have before the triple, from and to.
+PARTS = ((0, 6), (7, 12), (13, 19), (20, SPAN - 1))
+CORE = LENGTH - 6
 SKETCH_BITS = 27
-SHARES = 4
 #: Bytes looked at together; small, so that the arrays stay in cache.
 CHUNK = 1 << 18
 
@@ -70,7 +74,7 @@ def names_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def samples(data: np.ndarray, offs: np.ndarray):
-    """Sampled positions with their runs: (triple name, row, run's first start, strings in the run, words).
+    """Sampled positions with their runs: (triple name, row, run's first start, strings in the run, words, position).
 
     A string belongs to the first of its least triples.  Strings lie within rows; positions are those in `data`.
     """
@@ -78,7 +82,7 @@ def samples(data: np.ndarray, offs: np.ndarray):
     empty = np.zeros(0, np.int64)
     starts_in = np.maximum(np.diff(offs) - LENGTH + 1, 0)
     if n < LENGTH or not starts_in.any():
-        return np.zeros(0, np.uint64), empty, empty, empty, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), empty, empty, empty, np.zeros(0, np.uint64), empty
     words = _words8(data)
     h = words[: n - TRIPLE + 1] * _U(0x9E3779B97F4A7C15)
     h += words[8 : n - TRIPLE + 9] * _U(0xC2B2AE3D27D4EB4F)
@@ -93,7 +97,7 @@ def samples(data: np.ndarray, offs: np.ndarray):
     new = np.ones(len(start), bool)
     new[1:] = (sample[1:] != sample[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
-    return mix(h[sample[at]]), row[at], start[at], np.diff(np.append(at, len(start))), words
+    return mix(h[sample[at]]), row[at], start[at], np.diff(np.append(at, len(start))), words, sample[at]
 
 
 def run_names(words: np.ndarray, first: np.ndarray, count: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -105,7 +109,7 @@ def _triples(batches):
     """(name): the sampled triples of each document, once each."""
     for batch in batches:
         for _, _, data, offs in chunks(batch.column(1), CHUNK):
-            h, row, _, _, _ = samples(data, offs)
+            h, row, *_ = samples(data, offs)
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
             fresh = np.ones(len(h), bool)
@@ -117,42 +121,84 @@ def _run_key(triple: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarr
     return mix(mix(doc.astype(np.int64).view(np.uint64)) * _U(3) + start.astype(np.uint64)) ^ triple
 
 
+def _parts(first: np.ndarray, count: np.ndarray, at: np.ndarray):
+    """For each part: its number, and the first start and the number of the strings that a run has of it (0 or less: none)."""
+    for part, (least, most) in enumerate(PARTS):
+        lo = np.maximum(first, at - most)
+        yield part, lo, np.minimum(first + count - 1, at - least) - lo + 1
+
+
+def _cores(words: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """A hash of each part's core, told apart by the last two bits; null where a run has no string of the part."""
+    out = []
+    for part, _, strings in _parts(first, count, at):
+        lacks = strings < 1
+        lo = np.where(lacks, 0, at - PARTS[part][0])
+        h = np.zeros(len(lo), np.uint64)
+        for k in (0, 8, 16, 24, 32, CORE - 8) if len(lo) else ():
+            h = mix(h * _U(3) + words[lo + k])
+        out.append(pa.array(((h >> _U(34)) << _U(2) | _U(part)).astype(np.uint32).view(np.int32), mask=lacks))
+    return out
+
+
+def _part_key(key: np.ndarray, part: int) -> np.ndarray:
+    return mix(key + _U(part + 1))
+
+
+def _cores_of_runs(batches):
+    """(triple, core, doc, keys): each part of each run, with the keys of the run and of the part."""
+    for batch in batches:
+        triple, doc, start = (batch.column(name).to_numpy() for name in ("triple", "doc", "start"))
+        key = _run_key(triple.view(np.uint64), doc, start)
+        for part in range(len(PARTS)):
+            core = batch.column(f"core{part}")
+            keys = np.stack([key, _part_key(key, part)], 1).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((2 * np.arange(len(key) + 1)).astype(np.int32)), pa.array(keys))
+            rows = pa.RecordBatch.from_arrays([batch.column("triple"), core, batch.column("doc"), lists], ["triple", "core", "doc", "keys"])
+            yield rows.filter(core.is_valid())
+
+
 def _runs(shared: bitmaps.Sketch):
-    """(doc, start, strings, triple, run, key) of samples whose triple the sketch lets through."""
+    """(doc, start, strings, triple, run, cores of its parts) of samples whose triple the sketch lets through."""
 
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
             for a, _, data, offs in chunks(batch.column(1), CHUNK):
-                h, row, first, count, words = samples(data, offs)
+                h, row, first, count, words, at = samples(data, offs)
                 ok = shared.lets_through(h)
-                h, row, first, count = h[ok], row[ok], first[ok], count[ok]
+                h, row, first, count, at = h[ok], row[ok], first[ok], count[ok], at[ok]
                 name = run_names(words, first, count, np.zeros(len(first), np.int64)) if len(h) else h
                 doc, start = docs[a + row], first - offs[row]
-                key = _run_key(h, doc, start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (h, name, key))],
-                    ["doc", "start", "n", "triple", "run", "key"],
+                    [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (h, name)), *_cores(words, first, count, at)],
+                    ["doc", "start", "n", "triple", "run", *(f"core{part}" for part in range(len(PARTS)))],
                 )
 
     return run
 
 
 def _strings(open_runs: bitmaps.Sketch):
-    """(doc, start, name) of every string of the runs that the sketch lets through."""
+    """(doc, start, name) of every string of the parts of runs that the sketch lets through."""
 
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
             for a, _, data, offs in chunks(batch.column(1), CHUNK):
-                h, row, first, count, words = samples(data, offs)
-                ok = open_runs.lets_through(_run_key(h, docs[a + row], first - offs[row]))
-                row, first, count = row[ok], first[ok], count[ok]
-                each = np.repeat(np.arange(len(first)), count)
-                at = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                h, row, first, count, words, at = samples(data, offs)
+                key = _run_key(h, docs[a + row], first - offs[row])
+                ok = open_runs.lets_through(key)
+                key, row, first, count, at = key[ok], row[ok], first[ok], count[ok], at[ok]
+                found = [np.zeros((2, 0), np.int64)]
+                for part, lo, strings in _parts(first, count, at):
+                    use = (strings > 0) & open_runs.lets_through(_part_key(key, part))
+                    lo, strings = lo[use], strings[use]
+                    each = np.repeat(np.arange(len(lo)), strings)
+                    found.append(np.stack([row[use][each], lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(strings) - strings, strings)]))
+                row, at = np.concatenate(found, 1)
                 name = names_at(words, at) if len(at) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[a + row[each]]), pa.array((at - offs[row[each]]).astype(np.int32)), pa.array(name.view(np.int64))], ["doc", "start", "name"]
+                    [pa.array(docs[a + row]), pa.array((at - offs[row]).astype(np.int32)), pa.array(name.view(np.int64))], ["doc", "start", "name"]
                 )
 
     return run
@@ -175,9 +221,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = texts.mapInArrow(_triples, "triple long")
     shared = cut(names.groupBy("triple").agg(F.count("*").alias("n")).where("n > 1").select("triple"))
     free_shuffles(spark)
-    sketch = bitmaps.sketch(shared, "triple", SKETCH_BITS)
+    sketch = bitmaps.sketch(shared, "triple", SKETCH_BITS, probes=2)
     drop(shared)
-    runs = texts.mapInArrow(_runs(sketch), "doc long, start int, n int, triple long, run long, key long")
+    runs = texts.mapInArrow(_runs(sketch), "doc long, start int, n int, triple long, run long, core0 int, core1 int, core2 int, core3 int")
     runs = cut(runs.join(copies.select("doc").distinct(), "doc", "left_anti"))
     free_shuffles(spark)
 
@@ -187,28 +233,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = "start", F.expr(f"start + n - 1 + {LENGTH}").alias("end")
     settled = cut(runs.join(later, ["triple", "run"]).where("doc > first").select("doc", *ranges))
     free_shuffles(spark)
-    # in a triple with several runs: the documents that are the least of theirs
-    least = runs.join(classes, ["triple", "run"]).where("doc = first").select("triple", "key")
-    open_keys = cut(least.join(several, "triple").select("key"))
+    # in a triple with several runs: the documents that are the least of theirs, where another one has the same core
+    least = runs.join(classes, ["triple", "run"]).where("doc = first").join(several, "triple").select("triple", "doc", "start", *(f"core{part}" for part in range(len(PARTS))))
+    cores = cut(least.mapInArrow(_cores_of_runs, "triple long, core int, doc long, keys array<long>"))
     drop(classes, several, runs)
     free_shuffles(spark)
-    sketch = bitmaps.sketch(open_keys, "key", SKETCH_BITS)
+    met = cores.groupBy("triple", "core").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("triple", "core")
+    open_keys = cut(cores.join(met, ["triple", "core"]).select(F.explode("keys").alias("key")))
+    drop(cores)
+    free_shuffles(spark)
+    sketch = bitmaps.sketch(open_keys, "key", SKETCH_BITS, probes=2)
     strings = cut(texts.mapInArrow(_strings(sketch), "doc long, start int, name long"))
     drop(open_keys)
-    # names are dealt with in shares, so that only a share of them is on disk twice
-    single = []
-    for share in range(SHARES):
-        own = strings.where(F.pmod("name", F.lit(SHARES)) == share)
-        met = own.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first")
-        met = cut(met)
-        single.append(cut(own.join(met, "name").where("doc > first").select("doc", "start", F.expr(f"start + {LENGTH}").alias("end"))))
-        drop(met)
-        free_shuffles(spark)
-    every = settled.union(copies)
-    for part in single:
-        every = every.union(part)
-    out = cut(every)
-    drop(strings, settled, copies, first, *single)
+    later = strings.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first")
+    single = cut(strings.join(later, "name").where("doc > first").select("doc", "start", F.expr(f"start + {LENGTH}").alias("end")))
+    drop(strings)
+    free_shuffles(spark)
+    out = cut(settled.union(copies).union(single))
+    drop(settled, copies, first, single)
     free_shuffles(spark)
     return out
 
