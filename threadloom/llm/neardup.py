@@ -26,7 +26,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitmaps
@@ -44,6 +45,8 @@ PIVOTS = 4
 BANDS = 32
 ROWS = 5
 REGISTERS = BANDS * ROWS
+#: Bits of the slots of the shingle counts; 4 MB whatever the size of the corpus.
+SLOT_BITS = 22
 
 _U = np.uint64
 _TINY = 2.0**-54
@@ -244,10 +247,43 @@ def _pivot_pairs(work: DataFrame) -> DataFrame:
     return best.select("doc", F.explode(F.slice("best.pivot", 1, PIVOTS)).alias("pivot")).select(*_ordered("doc", "pivot")).distinct()
 
 
+def _rarity(texts: DataFrame) -> Broadcast:
+    """A class for each hash slot, twice the logarithm of its count over all elements; 0 for one element or none."""
+    each = texts.select(F.explode("elements").alias("e")).select(F.shiftrightunsigned("e", 64 - SLOT_BITS).cast("int").alias("slot"))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 2).cast("byte")
+    found = each.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot", level.alias("level")).toArrow()
+    classes = np.zeros(1 << SLOT_BITS, np.int8)
+    classes[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return texts.sparkSession.sparkContext.broadcast(classes)
+
+
+def _prefixes(rarity: Broadcast):
+    """(e, doc, n, root, i): of each text's n elements the first that a linked text must share one of, with their places from 1."""
+
+    def run(batches):
+        for batch in batches:
+            doc, root, lists = (batch.column(name) for name in ("doc", "root", "elements"))
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            e = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            level = rarity.value[(e >> _U(64 - SLOT_BITS)).astype(np.int64)]
+            order = np.lexsort((e, level, row))
+            e, level = e[order], level[order]
+            i = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) + 1
+            n = size[row]
+            ok = (i <= n - (NUM * n + DEN - 1) // DEN + 1) & (level > 0)
+            at = pa.array(row[ok])
+            columns = [_long(e[ok]), doc.take(at), pa.array(n[ok].astype(np.int32)), root.take(at), pa.array(i[ok].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["e", "doc", "n", "root", "i"])
+
+    return run
+
+
 def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
     """Links between components that the pivots left, by an exact prefix join.
 
-    Of the texts in groups of several components, the shingles of each are ordered by how many of these texts have them.  Two
+    Of the texts in groups of several components, the shingles of each are ordered by how many of these texts have them,
+    told by counts in SLOTS hash slots; any common order makes the join exact, and a slot of one shingle has no match.  Two
     linked texts of n and m shingles, o of them in common, share one among the first n - o + 1 and m - o + 1.  So texts
     that differ by shingles of their own never meet, however many they are; texts of one component do not meet either.
     Shingles that the same texts have among their first (most of those of a passage) are one cell, told by two 64-bit sums
@@ -256,13 +292,10 @@ def _close(work: DataFrame, roots: DataFrame, elements: DataFrame) -> DataFrame:
     cell = ["s", "t"]
     rooted = work.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(rooted.join(several, "key").select("doc", "n", "root").distinct())
-    each = elements.join(open_, "doc").select("doc", "n", "root", F.explode("elements").alias("e"))
-    counts = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
-    of_doc = Window.partitionBy("doc")
-    shared = each.join(counts, "e").select("doc", "n", "root", "e", F.row_number().over(of_doc.orderBy("c", "e")).alias("at"), F.count("*").over(of_doc).alias("r"))
-    place = (F.col("n") - F.col("r") + F.col("at")).alias("i")
-    first = cut(shared.select("e", "doc", "n", "root", place).where(f"i <= n - ({NUM} * n + {DEN - 1}) div {DEN} + 1"))
+    open_ = cut(rooted.join(several, "key").select("doc", "root").distinct())
+    texts = cut(elements.join(open_, "doc").select("doc", "root", "elements"))
+    first = cut(texts.mapInArrow(_prefixes(_rarity(texts)), "e long, doc long, n int, root long, i int"))
+    drop(texts)
     hashes = [F.bit_xor(F.xxhash64("doc", F.lit(seed))).alias(name) for seed, name in enumerate(cell)]
     several = first.groupBy("e").agg(*hashes, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("e", *cell)
     cells = cut(first.join(several, "e").groupBy(*cell, "doc").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("root").alias("root")))
