@@ -159,30 +159,34 @@ def _with_families(lines: DataFrame) -> DataFrame:
 
 
 def _keys(lines: DataFrame, share: int) -> DataFrame:
-    """(key, pos, ...) of each line: the first `share`-th part of its words that may be the rarest common one, with their
-    places, and pairs of the most frequent words (place -1)."""
+    """(key, pos, before, ...) of each line: the first `share`-th part of its words that may be the rarest common one, with
+    their places and the words before them, and pairs of the most frequent words (place -1) with the frequent words up to the
+    second that are not of the pair."""
     payload = "at", "n", "even", "odd", "open"
     often, told = F.lit(_from(OFTEN)), F.lit(_from(2))
     limit = F.expr(f"cast(n - ({share} * n + {share}) div {share + 1} + 1 as int)")
-    single = lines.select(*payload, F.posexplode(F.slice("prefix", F.lit(1), limit)).alias("pos", "key")).where((F.col("key") >= told) & (F.col("key") < often))
+    single = lines.select(*payload, "prefix", F.posexplode(F.slice("prefix", F.lit(1), limit)).alias("pos", "key")).where((F.col("key") >= told) & (F.col("key") < often))
+    single = single.select(*payload, "pos", "key", F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
     w = F.filter("prefix", lambda x: x >= often)
     two = lines.select(*payload, w.alias("w")).where(F.size("w") > 1)
-    each = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b: F.xxhash64(a, b))))
-    pairs = two.select(*payload, F.lit(-1).alias("pos"), F.explode(each).alias("key"))
+    each = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b, j: F.struct(F.xxhash64(a, b).alias("key"), a.alias("a"), (i + j + 1).alias("upto")))))
+    pairs = two.select(*payload, "w", F.lit(-1).alias("pos"), F.explode(each).alias("p"))
+    pairs = pairs.select(*payload, "pos", F.col("p.key").alias("key"), F.array_remove(F.slice("w", F.lit(1), F.col("p.upto")), F.col("p.a")).alias("before"))
     return single.unionByName(pairs)
 
 
 def _with_all(lines: DataFrame) -> DataFrame:
     """Pairs (x, y) of an open line and any earlier line that pass the prefix, length, positional and parity filters.
 
-    Of a pair, the smaller set s needs its first n / 9 words only, the larger one, l, its first n / 5.
+    Of a pair, the smaller set s needs its first n / 9 words only, the larger one, l, its first n / 5.  Two lines meet once,
+    at their first common word or pair of words, so no more words can be common than are left from there.
     """
-    s, l = (_keys(lines, share).select("key", *(F.col(c).alias(side + c) for c in ("at", "n", "pos", "even", "odd", "open"))) for side, share in (("s", 2 * NUM), ("l", NUM)))
+    s, l = (_keys(lines, share).select("key", *(F.col(c).alias(side + c) for c in ("at", "n", "pos", "before", "even", "odd", "open"))) for side, share in (("s", 2 * NUM), ("l", NUM)))
     need = f"(({NUM} * (sn + ln) + {NUM + DEN - 1}) div {NUM + DEN})"
     length = f"(sn < ln or sn = ln and sat < lat) and {DEN} * sn >= {NUM} * ln"
-    place = f"spos < sn - {need} + 1 and lpos < ln - {need} + 1 and least(sn - spos, ln - lpos) + least(spos, lpos) >= {need}"
+    place = f"spos < sn - {need} + 1 and lpos < ln - {need} + 1 and least(sn - spos, ln - lpos) >= {need}"
     parity = f"bit_count(seven ^ leven) + bit_count(sodd ^ lodd) <= sn + ln - 2 * {need}"
-    met = s.join(l, "key").where(f"{length} and {place} and if(sat > lat, sopen, lopen) and {parity}")
+    met = s.join(l, "key").where(f"{length} and {place} and if(sat > lat, sopen, lopen) and {parity} and not arrays_overlap(sbefore, lbefore)")
     return cut(met.select(F.greatest("sat", "lat").alias("x"), F.least("sat", "lat").alias("y")).distinct())
 
 
