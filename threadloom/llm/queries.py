@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, lines, neardup, neighbours, packing, quality, suffixes, tokens
+from . import decontaminate, hilbert, lines, neardup, negatives, neighbours, packing, quality, suffixes, tokens
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
     "op9_sentencepiece": tokens.op9_sentencepiece,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
 
 _LINES = """
@@ -55,5 +56,15 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM
 SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 """
 
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
 #: Near-duplicate search finds its links with a chance below one (a miss at 0.8 has 3e-6); the SQL has all of them.
-ORACLES: dict[str, str] = {"op10_line_dedup": _LINES, "op4_repeats": _REPEATS, "op3_near_duplicates": _NEAR}
+ORACLES: dict[str, str] = {"op10_line_dedup": _LINES, "op4_repeats": _REPEATS, "op3_near_duplicates": _NEAR, "op11_hard_negatives": _NEGATIVES}
