@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, lines, neardup, negatives, neighbours, packing, quality, suffixes, tokens
+from . import alignment, decontaminate, hilbert, lines, neardup, negatives, neighbours, packing, quality, suffixes, tokens
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_sentencepiece": tokens.op9_sentencepiece,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 _LINES = """
