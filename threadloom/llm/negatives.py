@@ -187,23 +187,24 @@ def _searched(dims: int, order: list[int], kind, k: int, same: bool):
     return run
 
 
-def _joined(asks: DataFrame, points: DataFrame, shape: tuple, k: int, same: bool) -> DataFrame:
+def _joined(asks: DataFrame, points: DataFrame, shape: tuple, total: int, k: int, same: bool) -> DataFrame:
     """(point, slot, score, row): the k best rows of each window in each stripe of rows, at least.
 
     With `same`, only rows of the ask's label meet it; their blocks and stripes are cut by the label's own counts.
     """
-    key = F.col("label") if same else F.lit(0).cast("long")
-    asks, points = asks.withColumn("key", key), points.withColumn("key", key)
-    up = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    sizes = points.groupBy("key").agg(F.count("*").alias("np")).join(asks.groupBy("key").agg(F.count("*").alias("nq")), "key")
-    sizes = cut(sizes.select("key", up("nq", BLOCK).alias("blocks"), up("np", STRIPE).alias("stripes")))
-    if not same:
-        sizes = F.broadcast(sizes)  # one row
+    if same:
+        up = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+        sizes = points.groupBy("label").agg(F.count("*").alias("np")).join(asks.groupBy("label").agg(F.count("*").alias("nq")), "label")
+        sizes = cut(sizes.select("label", up("nq", BLOCK).alias("blocks"), up("np", STRIPE).alias("stripes")))
+        asks, points = (x.join(sizes, "label").withColumn("key", F.col("label")) for x in (asks, points))
+    else:
+        known = {"blocks": F.lit(-(-asks.count() // BLOCK)), "stripes": F.lit(-(-total // STRIPE)), "key": F.lit(0).cast("long")}
+        asks, points = asks.withColumns(known), points.withColumns(known)
     own = lambda n: F.pmod(F.xxhash64("point"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None).cast("array<long>")
-    left = asks.join(sizes, "key").select("key", F.lit(0).alias("side"), "point", "label", "vector", "lows", "highs", own("blocks").alias("b"), each("stripes").alias("s"))
-    right = points.join(sizes, "key").select("key", F.lit(1).alias("side"), "point", "label", "vector", none.alias("lows"), none.alias("highs"), own("stripes").alias("s"), each("blocks").alias("b"))
+    left = asks.select("key", F.lit(0).alias("side"), "point", "label", "vector", "lows", "highs", own("blocks").alias("b"), each("stripes").alias("s"))
+    right = points.select("key", F.lit(1).alias("side"), "point", "label", "vector", none.alias("lows"), none.alias("highs"), own("stripes").alias("s"), each("blocks").alias("b"))
     both = left.unionByName(right).select(F.xxhash64("key", "b", "s").alias("group"), "side", "point", "label", "vector", "lows", "highs")
     parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dims, order, kind = shape
@@ -246,7 +247,7 @@ def best_in_windows(asks: DataFrame, points: DataFrame, shape: tuple, sample: tu
     done = None
     for turn in range(3):
         now = F.transform("steps", lambda s: F.get(s, F.lit(turn)))  # noqa: B023
-        found = cut(_joined(open_.select("point", "label", "vector", now.alias("lows"), "highs"), points, shape, k, same))
+        found = cut(_joined(open_.select("point", "label", "vector", now.alias("lows"), "highs"), points, shape, total, k, same))
         free_shuffles(asks.sparkSession)
         order = Window.partitionBy("point", "slot").orderBy(F.desc("score"), "row")
         best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, hilbert, lines, neardup, negatives, neighbours, packing, quality, suffixes, tokens
+from . import alignment, decontaminate, hilbert, lines, neardup, negatives, neighbours, packing, quality, suffixes, tokens, warc
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_sentencepiece": tokens.op9_sentencepiece,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_alignment": alignment.op12_alignment,
+    "op13_warc": warc.op13_warc,
 }
 
 _LINES = """
@@ -67,5 +68,16 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
 """
 
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31) + 1, 1)" for i in range(8) for j in range(4)
+)
+_WARC = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, octet_length(x) AS n, {_LETTERS} AS digest FROM (SELECT page_id, x, sha1(x) AS h FROM p)),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
 #: Near-duplicate search finds its links with a chance below one (a miss at 0.8 has 3e-6); the SQL has all of them.
-ORACLES: dict[str, str] = {"op10_line_dedup": _LINES, "op4_repeats": _REPEATS, "op3_near_duplicates": _NEAR, "op11_hard_negatives": _NEGATIVES}
+ORACLES: dict[str, str] = {"op10_line_dedup": _LINES, "op4_repeats": _REPEATS, "op3_near_duplicates": _NEAR, "op11_hard_negatives": _NEGATIVES, "op13_warc": _WARC}
