@@ -1,11 +1,20 @@
-"""Review of graphs: counts, degrees, display types, labels, edge elements, filtering."""
+"""Review of graphs: counts, degrees, display types, labels, edge elements, filtering.
+
+Counts, degrees and filters come in two forms: over any node and edge tables, and over numbered items (`graph.numbered`),
+whose rows hold a node, an edge or both, so that one pass over one table is enough; over a table of items that is bucketed
+by conversation they need no exchange.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 KEY = ("conv_id", "id")
+#: Their nodes cannot be hidden.
+SPEAKERS = ("user", "assistant")
 # Sites whose first path segment is the label.
 PATH_SITES = ("github", "google", "wikipedia", "npmjs", "youtube")
 
@@ -22,6 +31,29 @@ def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.sum("d").alias("degree"), F.max("n").alias("n")).where("n = 1").select(*KEY, "degree")
 
 
+def counts_of(items: DataFrame) -> DataFrame:
+    """Nodes and edges of each conversation."""
+    return items.groupBy("conv_id").agg(F.count_if("is_new").alias("nodes"), F.count("edge_seq").alias("edges"))
+
+
+def degree_of(items: DataFrame) -> DataFrame:
+    """Edges that start or end at each node; a node that is new counts as zero of them."""
+    row = lambda id_, n: F.struct(id_.alias("id"), F.lit(n).cast("long").alias("n"))
+    linked = F.col("edge_seq").isNotNull()
+    ends = F.array(F.when(F.col("is_new"), row(F.col("id"), 0)), F.when(linked, row(graph.source_of(), 1)), F.when(linked, row(F.col("id"), 1)))
+    each = items.select("conv_id", F.explode(F.array_compact(ends)).alias("x")).select("conv_id", "x.*")
+    return each.groupBy(*KEY).agg(F.sum("n").alias("degree"))
+
+
+def filter_items(items: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose display type is not hidden, and the edges between them, told by flags in the items' own rows."""
+    gone = [h for h in hidden if h not in SPEAKERS] or [""]
+    own = display_type(F.when(F.col("kind") == 0, F.col("role")), graph.by_kind(1), graph.by_kind(0))
+    source = display_type(F.when(F.col("kind") == 0, F.col("before")).otherwise(F.col("role")), F.lit(None).cast("string"), F.lit("task"))
+    kept = items.where(~own.isin(*gone))
+    return graph.nodes_of(kept), graph.edges_of(kept.where(~source.isin(*gone)))
+
+
 def display_type(role: Column | str, subtype: Column | str, type_: Column | str) -> Column:
     col = lambda c: F.col(c) if isinstance(c, str) else c
     raw = F.coalesce(*[F.nullif(col(c), F.lit("")) for c in (role, subtype, type_)], F.lit("artifact"))
@@ -75,7 +107,7 @@ def edge_elements(edges: DataFrame) -> DataFrame:
 
 def filter_graph(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes whose display type is not hidden, and the edges between them; speakers cannot be hidden."""
-    gone = [h for h in hidden if h not in ("user", "assistant")]
+    gone = [h for h in hidden if h not in SPEAKERS]
     kept = nodes.where(~display_type("role", "subtype", "type").isin(*gone)) if gone else nodes
     ids = kept.select(*KEY)
     for end in ("source", "target"):

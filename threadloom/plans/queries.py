@@ -20,6 +20,8 @@ DECORATED = """
  || CASE WHEN turn % 5 = 2 THEN concat(' **term ', CAST(conv_id % 7 AS VARCHAR(20)), '** **** **open') ELSE '' END
 """
 HIDDEN = ["variable"]
+#: Several types at once, system turns among them.
+HIDDEN_TYPES = ["link", "artifact", "system"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,12 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(item)).getField("m")).alias("payload"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.numbered(decorated(spark, sf_dir))
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = graph.numbered(decorated(spark, sf_dir))
+    items = _items(spark, sf_dir)
     return graph.nodes_of(items), graph.edges_of(items)
 
 
@@ -52,8 +58,8 @@ def _on_messages(operator):
     return lambda spark, sf_dir: operator(decorated(spark, sf_dir))
 
 
-def _on_graph(operator):
-    return lambda spark, sf_dir: operator(*_graph(spark, sf_dir))
+def _on_items(operator):
+    return lambda spark, sf_dir: operator(_items(spark, sf_dir))
 
 
 def _latest(spark, sf_dir):
@@ -170,15 +176,17 @@ QUERIES = {
     "artifact_ids": lambda s, d: _graph(s, d)[0].where("type = 'artifact'").select("conv_id", "node_seq", "id"),
     "graph_nodes": lambda s, d: _graph(s, d)[0],
     "graph_edges": lambda s, d: _graph(s, d)[1],
-    "graph_counts": _on_graph(review.graph_counts),
-    "node_degree": _on_graph(review.node_degree),
+    "graph_counts": _on_items(review.counts_of),
+    "node_degree": _on_items(review.degree_of),
     "display_type": _display_types,
     "text_label": _text_labels,
     "url_label": _url_labels,
     "node_labels": lambda s, d: review.node_labels(_graph(s, d)[0]),
     "edge_elements": lambda s, d: review.edge_elements(_graph(s, d)[1]),
-    "filter_graph_nodes": _on_graph(lambda n, e: review.filter_graph(n, e, HIDDEN)[0]),
-    "filter_graph_edges": _on_graph(lambda n, e: review.filter_graph(n, e, HIDDEN)[1]),
+    "filter_graph_nodes": _on_items(lambda items: review.filter_items(items, HIDDEN)[0]),
+    "filter_graph_edges": _on_items(lambda items: review.filter_items(items, HIDDEN)[1]),
+    "filter_types_nodes": lambda s, d: review.filter_graph(*_graph(s, d), HIDDEN_TYPES)[0],
+    "filter_types_edges": _on_items(lambda items: review.filter_items(items, HIDDEN_TYPES)[1]),
     "inject_payload": lambda s, d: payloads.inject_payload(graph.graph_json(decorated(s, d))),
     "clipboard_payload": _clipboard,
     "route_payloads": _routes,
