@@ -255,6 +255,8 @@ ORACLES = {
     "filter_types_nodes": _graph(f"SELECT * FROM node WHERE {_TYPE} NOT IN ('link', 'artifact', 'system')"),
     "filter_types_edges": _graph(f"""SELECT edge.* FROM edge JOIN (SELECT conv_id, id AS source, {_TYPE} AS s FROM node) USING (conv_id, source)
       JOIN (SELECT conv_id, id AS target, {_TYPE} AS t FROM node) USING (conv_id, target) WHERE s NOT IN ('link', 'artifact', 'system') AND t NOT IN ('link', 'artifact', 'system')"""),
+    "graph_stream_nodes": _graph("SELECT * FROM node"),
+    "graph_stream_edges": _graph("SELECT * FROM edge"),
     "inject_payload": f"WITH {GRAPH_STEPS}, {_JSON} SELECT conv_id, {_text(INJECT_PREAMBLE)} || graph_json AS payload FROM gj",
     "clipboard_payload": _graph(_CLIPBOARD),
     "route_payloads": """SELECT conv_id, target, platform, CASE asked WHEN 'chatgpt' THEN 'https://chatgpt.com/' WHEN 'claude' THEN 'https://claude.ai/new' WHEN 'gemini' THEN 'https://gemini.google.com/app' END AS url,

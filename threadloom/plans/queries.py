@@ -11,6 +11,7 @@ from ..operators import graph, messages, payloads, review
 from ..sources import messages as source
 from ..sources import pages as page_source
 from ..sources import transcripts
+from ..streaming import graph_stream
 
 #: Valid in Spark SQL and DuckDB.
 DECORATED = """
@@ -54,6 +55,19 @@ def _stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return source.read_graph_json(graph.graph_json(decorated(spark, sf_dir)))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The table's files as a stream, in the order of their names."""
+    path = f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(path).schema
+
+    def messages_of(session: SparkSession, stream: bool) -> DataFrame:
+        # a stream takes a folder or a pattern; this one is the table, be it a folder or a file
+        rows = session.readStream.schema(schema).parquet(f"{path[:-1]}[t]") if stream else session.read.schema(schema).parquet(path)
+        return source.from_conversations(rows.withColumn("text", F.expr(DECORATED)))
+
+    return graph_stream.streamed_graph(spark, messages_of)
+
+
 def _on_messages(operator):
     return lambda spark, sf_dir: operator(decorated(spark, sf_dir))
 
@@ -187,6 +201,8 @@ QUERIES = {
     "filter_graph_edges": _on_items(lambda items: review.filter_items(items, HIDDEN)[1]),
     "filter_types_nodes": lambda s, d: review.filter_graph(*_graph(s, d), HIDDEN_TYPES)[0],
     "filter_types_edges": _on_items(lambda items: review.filter_items(items, HIDDEN_TYPES)[1]),
+    "graph_stream_nodes": lambda s, d: _streamed(s, d)[0],
+    "graph_stream_edges": lambda s, d: _streamed(s, d)[1],
     "inject_payload": lambda s, d: payloads.inject_payload(graph.graph_json(decorated(s, d))),
     "clipboard_payload": _clipboard,
     "route_payloads": _routes,

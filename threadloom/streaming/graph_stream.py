@@ -1,80 +1,156 @@
 """Conversation graphs from a stream of messages: new turns append nodes and edges without recomputation.
 
-State of a conversation: message and artifact counters, the last turn, and the entities seen.  Turns of a batch are
-sorted; a turn at or before the last one seen is late and comes out as a row of kind `late`, for recomputation in batch.
+State of a conversation: one value of counters (messages, artifacts, nodes, edges, last turn) and a map with an entry for
+each entity.  A batch reads and writes the entries of the entities it mentions, not the map, so its cost does not grow
+with the conversation's history.  Items of a batch are sorted by turn; a turn at or before the last one seen is late and
+comes out as rows of kind `late`, one for each message, for recomputation.  What a task holds of a conversation is what one
+micro-batch has of it; maxFilesPerTrigger bounds that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import texts
-from ..functions.rank import keyword_phrases
-from ..operators.graph import KINDS
+from ..operators import graph
+from ..sources.stored import work_folder
 
 OUT = "kind string, conv_id long, seq long, id string, type string, subtype string, role string, language string, content string, source string, target string, relation string, turn long"
-STATE = "tasks long, artifacts long, edges long, nodes long, last_turn long, entities map<string,string>"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+_COUNTERS = "tasks long, artifacts long, nodes long, edges long, last_turn long, until long"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_KINDS = pd.DataFrame(graph.KINDS, index=["type", "subtype", "relation"]).T
 
 
-def graph_stream(messages: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Rows of kind node, edge or late for messages(conv_id, turn, role, content).
+class GraphBuilder(StatefulProcessor):
+    """Numbers the items of a conversation, batch by batch."""
 
-    A conversation that is idle for that long loses its state; later turns start a new graph for it.
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("counters", _COUNTERS)
+        self.entities = handle.getMapState("entities", "key string", "id string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        items = pd.concat(list(rows), ignore_index=True).sort_values(["turn", "kind", "ord"], kind="stable", ignore_index=True)
+        tasks, artifacts, nodes, edges, last, until = self.counters.get() if self.counters.exists() else (0, 0, 0, 0, None, 0)
+        if last is not None:
+            late = items["turn"] <= last
+            told = items[late & (items["kind"] == 0)]
+            if len(told):
+                yield self._shaped(told.assign(out="late", content=None), key[0])
+            items = items[~late].reset_index(drop=True)
+        if len(items):
+            items, tasks, artifacts = self._numbered(items, tasks, artifacts)
+            new, linked = items["is_new"], (items["kind"] > 0) | (items["at"] > 0)
+            places = items.join(_KINDS, on="kind")
+            made = places[new].assign(out="node", seq=nodes + np.arange(new.sum()), relation=None)
+            made["role"] = made["role"].where(made["kind"] == 0, None)
+            joined = places[linked].assign(out="edge", seq=edges + np.arange(linked.sum()))
+            joined["source"] = "t" + np.where(joined["kind"] == 0, joined["at"] - 1, joined["at"]).astype(str).astype(object)
+            joined = joined.rename(columns={"id": "target"}).assign(type=None, subtype=None, role=None, language=None, content=None)
+            yield self._shaped(made, key[0])
+            yield self._shaped(joined, key[0])
+            nodes, edges, last = nodes + int(new.sum()), edges + int(linked.sum()), int(items["turn"].iloc[-1])
+        if self.idle_ms is not None:
+            until = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(until)
+        self.counters.update((tasks, artifacts, nodes, edges, last, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Ends a conversation unless it had messages since this timer was set."""
+        if self.counters.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.counters.get()[-1]:
+            self.counters.clear()
+            self.entities.clear()
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+    def _numbered(self, items: pd.DataFrame, tasks: int, artifacts: int) -> tuple[pd.DataFrame, int, int]:
+        """Items with at, is_new and id; entities that are new are written to the map."""
+        is_task, is_word = items["kind"] == 0, items["kind"] == 3
+        names = items.loc[is_word, "key"].drop_duplicates()
+        known = {n: self.entities.getValue((n,))[0] for n in names if self.entities.containsKey((n,))}
+        again = is_word & (items["key"].isin(list(known)) | items["key"].where(is_word).duplicated())
+        items["at"] = tasks + is_task.cumsum() - 1
+        items["is_new"] = ~again
+        number = artifacts + (~is_task & ~again).cumsum() - 1
+        items["id"] = np.where(is_task, "t" + items["at"].astype(str), "a" + number.astype(str))
+        fresh = items[is_word & ~again]
+        given = dict(zip(fresh["key"], fresh["id"], strict=True))
+        for name, id_ in given.items():
+            self.entities.updateValue((name,), (id_,))
+        items.loc[again, "id"] = items.loc[again, "key"].map(known | given)
+        return items, tasks + int(is_task.sum()), artifacts + int((~is_task & ~again).sum())
+
+    @staticmethod
+    def _shaped(rows: pd.DataFrame, conv_id) -> pd.DataFrame:
+        rows = rows.drop(columns="kind").rename(columns={"out": "kind"}).assign(conv_id=conv_id)
+        rows = rows.reindex(columns=_COLUMNS).astype(object)
+        return rows.where(rows.notna(), None).astype({"conv_id": "int64", "seq": "Int64", "turn": "int64"})
+
+
+def graph_stream(messages: DataFrame, idle: str | None = None) -> DataFrame:
+    """Rows of kind node, edge or late for a stream of messages(conv_id, turn, role, content).
+
+    A null content is empty, and keeps its message; messages without a conversation or a turn take no part.  With `idle`,
+    a conversation that is idle for that long loses its state, and later turns start a new graph for it; without it, state
+    stays.  The session's state store must be RocksDB (`stream_session`).
+    """
+    idle_ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    items = graph.message_items(messages)
+    return items.groupBy("conv_id").transformWithStateInPandas(GraphBuilder(idle_ms), OUT, "append", "None" if idle is None else "ProcessingTime")
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB; other settings as in `spark`."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(name, None)) is not None:
+            session.conf.set(name, value)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return session
+
+
+def append_graph(messages: DataFrame, path: str, idle: str | None = None) -> None:
+    """Runs the stream over what is there now: rows go to path/rows by kind, progress and state to path/progress.
+
+    A later run over the same folder goes on where this one ended.
+    """
+    rows = graph_stream(messages, idle).writeStream.format("parquet").outputMode("append").partitionBy("kind")
+    query = rows.option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_appended(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, late messages) that runs of `append_graph` have written."""
+    rows = spark.read.schema(OUT).parquet(f"{path}/rows")
+    nodes = rows.where("kind = 'node'").select("conv_id", F.col("seq").alias("node_seq"), "id", "type", "subtype", "role", "language", "content")
+    edges = rows.where("kind = 'edge'").select("conv_id", F.col("seq").alias("edge_seq"), "source", "target", "relation")
+    return nodes, edges, rows.where("kind = 'late'").select("conv_id", "turn", "role")
+
+
+def streamed_graph(spark: SparkSession, messages_of, path: str | None = None, idle: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a stream; conversations with late messages are computed again as a whole, in batch.
+
+    messages_of(session, stream) gives the messages as a stream or, for the second step, as a table.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    parsed = messages.select("conv_id", "turn", F.nullif("role", F.lit("")).alias("role"), "content", texts.tokens("content").alias("t"))
-    ready = parsed.select(
-        "conv_id", "turn", "role", texts.summary("content").alias("summary"), texts.code_blocks("content").alias("code"), texts.links("content").alias("links"),
-        keyword_phrases(F.col("t.word"), F.col("t.stem")).alias("keywords"),
-    )
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=_COLUMNS)
-            return
-        tasks, artifacts, edges, nodes, last, entities = state.get if state.exists else (0, 0, 0, 0, -1, {})
-        entities = dict(entities)
-        conv, rows = key[0], []
-
-        def node(**named):
-            nonlocal nodes
-            rows.append({"kind": "node", "conv_id": conv, "seq": nodes, **named})
-            nodes += 1
-
-        def edge(source, target, relation, turn):
-            nonlocal edges
-            rows.append({"kind": "edge", "conv_id": conv, "seq": edges, "source": source, "target": target, "relation": relation, "turn": turn})
-            edges += 1
-
-        for m in pd.concat(list(frames)).sort_values("turn", kind="stable").itertuples(index=False):
-            if m.turn <= last:
-                rows.append({"kind": "late", "conv_id": conv, "turn": m.turn, "role": m.role})
-                continue
-            last, me = m.turn, f"t{tasks}"
-            node(id=me, type="task", role=m.role, content=m.summary, turn=m.turn)
-            if tasks:
-                edge(f"t{tasks - 1}", me, "sequence", m.turn)
-            tasks += 1
-            found = [(1, x["language"] or None, x["code"], None) for x in m.code] + [(2, None, x, None) for x in m.links]
-            found += [(3, None, x["phrase"], x["key"]) for x in m.keywords]
-            for kind, language, content, name in found:
-                target = entities.get(name) if name else None
-                if target is None:
-                    target = f"a{artifacts}"
-                    artifacts += 1
-                    if name:
-                        entities[name] = target
-                    node(id=target, type="artifact", subtype=KINDS[kind][1], language=language, content=content, turn=m.turn)
-                edge(me, target, KINDS[kind][2], m.turn)
-        state.update((tasks, artifacts, edges, nodes, last, entities))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return ready.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    path = path or work_folder(spark)
+    append_graph(messages_of(stream_session(spark), True), path, idle)
+    nodes, edges, late = read_appended(spark, path)
+    late = late.select("conv_id").distinct()
+    if late.isEmpty():
+        return nodes, edges
+    again = graph.numbered(messages_of(spark, False).join(late, "conv_id", "left_semi"))
+    return (
+        nodes.join(late, "conv_id", "left_anti").unionByName(graph.nodes_of(again)),
+        edges.join(late, "conv_id", "left_anti").unionByName(graph.edges_of(again)),
+    )
