@@ -1,59 +1,150 @@
-"""Word ranking in one message: weighted PageRank over the graph of stems that stand close together."""
+"""Word ranking in one message: weighted PageRank over the graph of stems that stand close together.
+
+A batch of messages is one graph.  Its vertices are the stems of each message, numbered by message and then by stem, its
+edges join stems of one message; all messages move together, and a message that has settled is taken out.  Nothing is done
+for single messages or words but on whole arrays.
+"""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS, SETTLED, WINDOW, TOP = 0.85, 20, 1e-4, 3, 5
-
-
-def scores(stems: list[str], window: int = WINDOW) -> dict[str, float]:
-    """All scores start at 1 and move together until none moves by SETTLED, or for ROUNDS rounds."""
-    names = sorted(set(stems))
-    place = {s: i for i, s in enumerate(names)}
-    at = np.array([place[s] for s in stems], np.int64)
-    n = len(names)
-    pairs = [np.stack([at[:-d], at[d:]]) for d in range(1, min(window, len(at)))]
-    both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+#: Words that are ranked at once; one longer message stands alone.
+WORDS = 1 << 18
+
+
+@dataclass
+class Ranked:
+    """The graph of some messages: of each word its message and vertex; of each vertex its message, stem and score."""
+
+    row: np.ndarray
+    vertex: np.ndarray
+    vertex_row: np.ndarray
+    stems: pa.Array
+    score: np.ndarray
+
+
+def _coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different words in order, and the number of each word."""
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def ranked(stems: pa.Array, sizes: np.ndarray, window: int = WINDOW) -> Ranked:
+    """Scores of all stems of messages with so many words each.
+
+    All scores start at 1 and move together until none of the message moves by SETTLED, or for ROUNDS rounds.
+    """
+    names, code = _coded(stems)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    keys, at = np.unique(row * max(1, len(names)) + code, return_inverse=True)
+    vertex_row = keys // max(1, len(names))
+    n = len(keys)
+    near = [np.flatnonzero(row[:-d] == row[d:]) for d in range(1, min(window, len(at)))]
+    both = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([at[i], at[i + d]]) for d, i in enumerate(near, 1))], axis=1)
     both = both[:, both[0] != both[1]]
     source, target = np.concatenate([both, both[::-1]], axis=1)
-    degree = np.bincount(source, minlength=n)
-    share = 1.0 / degree[source] if len(source) else np.zeros(0)
-    score = np.ones(n)
-    for _ in range(ROUNDS):
+    share = 1.0 / np.bincount(source, minlength=n)[source]
+    score, moving = np.ones(n), np.ones(len(sizes), bool)
+    first = np.flatnonzero(np.append(True, vertex_row[1:] != vertex_row[:-1])) if n else np.zeros(0, np.int64)
+    for _ in range(ROUNDS if n else 0):
         new = (1 - DAMPING) + DAMPING * np.bincount(target, weights=score[source] * share, minlength=n)
-        moved = np.abs(new - score).max(initial=0.0)
-        score = new
-        if moved < SETTLED:
+        active = moving[vertex_row]
+        moved = np.where(active, np.abs(new - score), 0.0)
+        score = np.where(active, new, score)
+        moving[vertex_row[first]] &= np.maximum.reduceat(moved, first) >= SETTLED
+        if not moving.any():
             break
-    return dict(zip(names, score.tolist(), strict=True))
+        left = moving[vertex_row[source]]
+        if 2 * np.count_nonzero(left) < len(left):
+            source, target, share = source[left], target[left], share[left]
+    return Ranked(row, at, vertex_row, names.take(pa.array(keys % max(1, len(names)))), score)
+
+
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """For sorted numbers, how many equal ones stand before each."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+
+def _forms(words: pa.Array, graph: Ranked, best: np.ndarray) -> np.ndarray:
+    """The place of the most frequent word of each vertex of the best, ties to the smaller word; -1 for other vertices."""
+    names, code = _coded(words)
+    kept = np.flatnonzero(best[graph.vertex])
+    keys, at, n = np.unique(graph.vertex[kept] * max(1, len(names)) + code[kept], return_index=True, return_counts=True)
+    vertex = keys // max(1, len(names))
+    order = np.lexsort((keys, -n, vertex))
+    chosen = order[_firsts(vertex[order]) == 0]
+    out = np.full(len(best), -1, np.int64)
+    out[vertex[chosen]] = kept[at[chosen]]
+    return out
+
+
+def phrases(words: pa.Array, stems: pa.Array, sizes: np.ndarray, top: int = TOP, window: int = WINDOW) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(messages, phrases, stems joined by _) of the best words of each message, in order of first mention, at most `top`.
+
+    The best stems in a row, without equal neighbours, are a run; words at even places of a run open a phrase and those at
+    odd places close it.
+    """
+    g = ranked(stems, sizes, window)
+    order = np.lexsort((np.arange(len(g.score)), -np.round(g.score, 9), g.vertex_row))
+    best = np.zeros(len(g.score), bool)
+    best[order[_firsts(g.vertex_row[order]) < top]] = True
+    at = np.flatnonzero(best[g.vertex])
+    vertex, row = g.vertex[at], g.row[at]
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1]) & (vertex[1:] != vertex[:-1])
+    runs = np.cumsum(~joins)
+    opens = np.flatnonzero(_firsts(runs) % 2 == 0)
+    after = np.minimum(opens + 1, max(len(at) - 1, 0))
+    paired = (opens + 1 < len(at)) & joins[after] if len(at) else np.zeros(0, bool)
+    one, two = vertex[opens], np.where(paired, vertex[after], -1) if len(at) else opens
+    _, seen = np.unique(one * (len(best) + 1) + two + 1, return_index=True)
+    seen = np.sort(seen)
+    seen = seen[_firsts(row[opens[seen]]) < top]
+    one, two = one[seen], two[seen]
+    form = _forms(words, g, best)
+    pick = lambda values, place: values.take(pa.array(place, pa.int64(), mask=place < 0))
+    join = lambda a, b, by: pc.binary_join_element_wise(a, b, by, null_handling="skip")
+    shown = [pc.ascii_capitalize(pick(words, np.where(v < 0, -1, form[v]))) for v in (one, two)]
+    keys = [pick(g.stems, v) for v in (one, two)]
+    return row[opens[seen]], join(*shown, " "), join(*keys, "_")
+
+
+def scores(stems: list[str], window: int = WINDOW) -> dict[str, float]:
+    """Scores of the stems of one message."""
+    g = ranked(pa.array(stems, pa.string()), np.array([len(stems)]), window)
+    return dict(zip(g.stems.to_pylist(), g.score.tolist(), strict=True))
 
 
 def keywords_of(words: list[str], stems: list[str], top: int = TOP, window: int = WINDOW) -> list[tuple[str, str]]:
-    """(phrase, stems joined by _) of the best words, neighbours merged in pairs, in order of first mention."""
-    if not words:
-        return []
-    rank = scores(stems, window)
-    best = set(sorted(rank, key=lambda s: (-round(rank[s], 9), s))[:top])
-    forms: dict[str, Counter] = defaultdict(Counter)
-    for w, s in zip(words, stems, strict=True):
-        forms[s][w] += 1
-    shown = {s: min(c, key=lambda w: (-c[w], w)).capitalize() for s, c in forms.items() if s in best}
-    found: dict[str, str] = {}
-    i = 0
-    while i < len(stems):
-        group = [stems[i]] if stems[i] in best else []
-        if group and i + 1 < len(stems) and stems[i + 1] in best and stems[i + 1] != stems[i]:
-            group.append(stems[i + 1])
-        if group:
-            found.setdefault(" ".join(shown[s] for s in group), "_".join(group))
-        i += max(1, len(group))
-    return list(found.items())[:top]
+    """(phrase, stems joined by _) of one message."""
+    _, shown, keys = phrases(pa.array(words, pa.string()), pa.array(stems, pa.string()), np.array([len(stems)]), top, window)
+    return list(zip(shown.to_pylist(), keys.to_pylist(), strict=True))
+
+
+def _parts(rows: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first message, end, words of each) of consecutive messages with about WORDS words; a null message has none."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORDS, side="right")))
+        yield a, b, sizes[a:b]
+        a = b
+
+
+def _listed(values: pa.Array, rows: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def rank_stems(stems: Column | str, window: int = WINDOW) -> Column:
@@ -61,8 +152,11 @@ def rank_stems(stems: Column | str, window: int = WINDOW) -> Column:
 
     @F.arrow_udf("array<struct<stem: string, score: double>>")
     def run(rows: pa.Array) -> pa.Array:
-        made = [[{"stem": s, "score": x} for s, x in scores(r, window).items()] if r else [] for r in rows.to_pylist()]
-        return pa.array(made, pa.list_(pa.struct([("stem", pa.string()), ("score", pa.float64())])))
+        out = []
+        for a, b, sizes in _parts(rows):
+            g = ranked(rows.slice(a, b - a).flatten(), sizes, window)
+            out.append(_listed(pa.StructArray.from_arrays([g.stems, pa.array(g.score)], ["stem", "score"]), g.vertex_row, b - a))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("stem", pa.string()), ("score", pa.float64())])))
 
     return run.asNondeterministic()(stems)
 
@@ -72,7 +166,10 @@ def keyword_phrases(words: Column | str, stems: Column | str, top: int = TOP, wi
 
     @F.arrow_udf("array<struct<phrase: string, key: string>>")
     def run(words_: pa.Array, stems_: pa.Array) -> pa.Array:
-        made = [[{"phrase": p, "key": k} for p, k in keywords_of(w or [], s or [], top, window)] for w, s in zip(words_.to_pylist(), stems_.to_pylist(), strict=True)]
-        return pa.array(made, pa.list_(pa.struct([("phrase", pa.string()), ("key", pa.string())])))
+        out = []
+        for a, b, sizes in _parts(stems_):
+            row, shown, keys = phrases(words_.slice(a, b - a).flatten(), stems_.slice(a, b - a).flatten(), sizes, top, window)
+            out.append(_listed(pa.StructArray.from_arrays([shown, keys], ["phrase", "key"]), row, b - a))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("phrase", pa.string()), ("key", pa.string())])))
 
     return run.asNondeterministic()(words, stems)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.porter import stem_words
-from ..functions.rank import TOP, WINDOW, keyword_phrases, rank_stems
+from ..functions.rank import DAMPING, ROUNDS, SETTLED, TOP, WINDOW, keyword_phrases, rank_stems
+from ..sources.stored import stored
 
 KEY = ("conv_id", "turn")
 
@@ -51,16 +52,52 @@ def vocabulary_stems(df: DataFrame, text: str = "content") -> DataFrame:
     return found.select("word", stem_words(F.array("word"))[0].alias("stem"))
 
 
+def _near_pairs(stems: Column, window: int) -> Column:
+    """array<struct<src, dst>> of different stems less than `window` places apart, both ways, made inside the row."""
+    n = F.size(stems)
+    apart = [F.arrays_zip(F.slice(stems, F.lit(1), F.greatest(n - d, F.lit(0))).alias("src"), F.slice(stems, F.lit(1 + d), F.greatest(n - d, F.lit(0))).alias("dst")) for d in range(1, window)]
+    one = F.filter(F.concat(*apart), lambda p: p["src"] != p["dst"])
+    return F.concat(one, F.transform(one, lambda p: F.struct(p["dst"].alias("src"), p["src"].alias("dst"))))
+
+
 def cooccurrence(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
     """Directed weights of pairs of different stems less than `window` places apart."""
-    stems = with_tokens(df, key, text).select(*key, F.posexplode("stems").alias("pos", "src"), "stems")
-    near = F.expr(f"slice(stems, pos + 2, {window - 1})")
-    pairs = stems.select(*key, "src", near.alias("near")).select(*key, "src", F.explode("near").alias("dst")).where("src <> dst")
-    both = pairs.select(*key, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("p"))
-    return both.groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
+    pairs = with_tokens(df, key, text).select(*key, F.explode(_near_pairs(F.col("stems"), window)).alias("p"))
+    return pairs.groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
+
+
+def textrank_by_joins(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
+    """The scores of `textrank_scores` by joins over the co-occurrence table, so that one text may have any number of stems.
+
+    A round joins scores with the shares of their neighbours and sums them up by target; a text whose scores have all
+    moved less than SETTLED is frozen.  Every round is stored, so that lineage does not grow; rounds end when all texts
+    are frozen, or after ROUNDS.
+    """
+    key = list(key)
+    found = stored(with_tokens(df, key, text).where(F.size("stems") > 0))
+    pairs = found.select(*key, F.explode(_near_pairs(F.col("stems"), window)).alias("p")).groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
+    pairs = stored(pairs)
+    out = pairs.groupBy(*key, "src").agg(F.sum("weight").alias("out"))
+    share = stored(pairs.join(out, [*key, "src"]).select(*key, F.col("src").alias("stem"), "dst", (F.col("weight") / F.col("out")).alias("share")))
+    vertices = found.select(*key, F.explode(F.array_distinct("stems")).alias("stem"))
+    done, now = None, vertices.withColumn("score", F.lit(1.0))
+    for left in range(ROUNDS - 1, -1, -1):
+        sums = share.join(now, [*key, "stem"]).groupBy(*key, F.col("dst").alias("stem")).agg(F.sum(F.col("score") * F.col("share")).alias("sum"))
+        new = (1 - DAMPING) + DAMPING * F.coalesce("sum", F.lit(0.0))
+        moved = stored(now.join(sums, [*key, "stem"], "left").select(*key, "stem", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
+        frozen = moved.groupBy(*key).agg(F.max("moved").alias("most")).where(F.col("most") < SETTLED).select(*key)
+        ended = moved.select(*key, "stem", "score").join(frozen, key, "left_semi") if left else moved.select(*key, "stem", "score")
+        done = ended if done is None else done.union(ended)
+        if not left:
+            break
+        now = moved.select(*key, "stem", "score").join(frozen, key, "left_anti")
+        if now.isEmpty():
+            break
+    return done
 
 
 def textrank_scores(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
+    """(key, stem, score); a text is ranked inside its row, in one task (`textrank_by_joins` spreads giant ones)."""
     ranked = with_tokens(df, key, text).select(*key, rank_stems("stems", window).alias("all")).select(*key, F.explode("all").alias("r"))
     return ranked.select(*key, "r.stem", "r.score")
 

@@ -120,7 +120,9 @@ PHRASES = """island AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c
 TOKEN_STEPS = f"{MESSAGES}, {WORDS}, {STEMS}, {TOKENS}"
 RANK_STEPS = f"{TOKEN_STEPS}, {PAIRS}, {RANKS}, {TOP}, {FORMS}, {PHRASES}"
 
-DOCUMENT_STEPS = RANK_STEPS.replace(MESSAGES, "msg AS MATERIALIZED (SELECT doc_id AS conv_id, 0 AS turn, text AS content FROM documents)")
+DOCUMENT_MESSAGES = "msg AS MATERIALIZED (SELECT doc_id AS conv_id, 0 AS turn, text AS content FROM documents)"
+DOCUMENT_STEPS = RANK_STEPS.replace(MESSAGES, DOCUMENT_MESSAGES)
+DOCUMENT_TOKENS = TOKEN_STEPS.replace(MESSAGES, DOCUMENT_MESSAGES)
 
 # -- graph -------------------------------------------------------------------------------------------------------------
 
@@ -229,6 +231,9 @@ ORACLES = {
     "surface_forms": f"WITH {TOKEN_STEPS}, {FORMS} SELECT * FROM form",
     "keyword_phrases": f"WITH {RANK_STEPS} SELECT conv_id, turn, phrase, key FROM word",
     "keywords": f"WITH {RANK_STEPS} SELECT conv_id, turn, ord, phrase FROM word",
+    "document_cooccurrence": f"WITH {DOCUMENT_TOKENS}, {PAIRS} SELECT conv_id AS doc_id, src, dst, weight FROM pair",
+    "textrank_by_joins": f"WITH {TOKEN_STEPS}, {PAIRS}, {RANKS} SELECT conv_id, turn, stem, round(score, 6) AS score FROM r{ROUNDS}",
+    "document_textrank_scores": f"WITH {DOCUMENT_TOKENS}, {PAIRS}, {RANKS} SELECT conv_id AS doc_id, stem, round(score, 6) AS score FROM r{ROUNDS}",
     "document_keywords": f"WITH {DOCUMENT_STEPS} SELECT conv_id AS doc_id, ord, phrase FROM word",
     "task_nodes": _graph("SELECT conv_id, node_seq, id, role, content FROM node WHERE type = 'task'"),
     "sequence_edges": _graph("SELECT * FROM edge WHERE relation = 'sequence'"),

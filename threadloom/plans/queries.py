@@ -179,6 +179,9 @@ QUERIES = {
     "keyword_phrases": lambda s, d: messages.keyword_phrases_of(decorated(s, d)).select("conv_id", "turn", F.explode("keywords").alias("k")).select("conv_id", "turn", "k.phrase", "k.key"),
     "keywords": _on_messages(messages.keywords),
     "document_keywords": _document_keywords,
+    "document_cooccurrence": lambda s, d: messages.cooccurrence(_table(s, d, "documents"), ("doc_id",), "text"),
+    "textrank_by_joins": lambda s, d: messages.textrank_by_joins(decorated(s, d)).withColumn("score", F.round("score", 6)),
+    "document_textrank_scores": lambda s, d: messages.textrank_by_joins(_table(s, d, "documents"), ("doc_id",), "text").withColumn("score", F.round("score", 6)),
     "task_nodes": lambda s, d: _graph(s, d)[0].where("type = 'task'").drop("subtype", "language", "type"),
     "sequence_edges": _edges_of_kind("sequence"),
     "code_nodes": _nodes_of_kind("code"),
