@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -82,6 +84,10 @@ def test_against_a_walk(spark, plain, slice_pairs):
     got = [tuple(r[c] for c in COLUMNS) for r in found.links().collect()]
     assert Counter(got) == Counter(want)
     assert {(r.a_id, r.b_id): r["count"] for r in found.pairs().collect()} == dict(pairs)
+    spelled = Counter()
+    for _, rows_ in itertools.groupby(sorted(found.groups().collect(), key=lambda r: (r.row, r.number)), key=lambda r: r.row):
+        spelled[hashlib.sha256(";".join(f"{','.join(map(str, r.a_ids))}|{','.join(map(str, r.b_ids))}" for r in rows_).encode()).hexdigest()] += 1
+    assert spelled == Counter(w[-1] for w in want if w[-1])
 
 
 def test_whole_table(spark, sf_dir, plain):
@@ -113,9 +119,14 @@ def _library():
     return made
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
-def test_fast_encoder_equals_the_library(text):
-    library = _library()
-    mine = alignment._pair(alignment.Files.read()).a.ids(" " + text).tolist()
-    assert mine == library.encode(" " + text, add_special_tokens=False).ids
+@functools.cache
+def _pieces():
+    return sentencepiece.SentencePieceProcessor(model_file=alignment.FILE_B)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("ab \n\t\u00a0▁é\u3000\r\x1c\x85'1.s", max_size=25)), max_size=6))
+def test_words_encoded_once_give_the_ids_of_the_libraries(texts):
+    found = [x.to_pylist() for x in alignment._pair(alignment.Files.read()).encode(pa.array(texts, pa.string()))]
+    assert found[0] == [_library().encode(" " + t, add_special_tokens=False).ids if t else [] for t in texts]
+    assert found[1] == [_pieces().encode(t) if t else [] for t in texts]

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, free_shuffles, table
-from .textbytes import mix
+from .textbytes import mix, utf8
+from .unigram import _fields
 
 FILE_A = "/opt/tokenizers/byte_bpe_50k.json"
 FILE_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,8 +45,10 @@ SLICE, SHARD = 1 << 22, 1 << 13
 GAMMA = 2
 #: Vectors that are summed at once.
 FAN = 32
-#: Bytes of text that are encoded at once; one longer text stands alone.
-CHUNK = 1 << 20
+#: Bytes of text that are encoded at once, and tokens that are aligned at once; one longer text stands alone.
+CHUNK, TOKENS = 1 << 20, 1 << 18
+#: Words that are encoded as one text.
+JOINED = 1 << 12
 #: Distinct pairs that a task gathers before it hands them on.
 GATHER = 1 << 20
 
@@ -53,7 +56,7 @@ GATHER = 1 << 20
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _U = np.uint64
-_TOKENS = "row long, doc long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, a_ends array<int>, b_ends array<int>"
+_TOKENS = "row long, doc long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"
 
 
 @dataclass(frozen=True)
@@ -98,7 +101,8 @@ class ByteTokenizer:
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         plain = not told.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges") and not model.get("unk_token")
         whole = len(vocabulary) == len(made) + 256 and all(x < y for x, y in zip(made, made[1:], strict=False)) and min(made) >= 256
-        if usual and plain and whole:
+        self.by_word = usual and plain and whole
+        if self.by_word:
             import tiktoken
 
             fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={p: i for i, p in spelled.items()}, special_tokens={})
@@ -111,12 +115,19 @@ class ByteTokenizer:
 
 
 class PieceTokenizer:
-    """B: ids of texts, and the bytes of each id."""
+    """B: ids of texts, and the bytes of each id.
+
+    Where the file maps no characters and no piece has a space behind another character, no piece spans two words, and
+    words can be encoded one by one.
+    """
 
     def __init__(self, data: bytes):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        rules = {n: dict(_fields(value)) for n, value in _fields(data) if n in (2, 3)}
+        plain = not rules.get(3, {}).get(2) and rules.get(3, {}).get(5, 1) and rules.get(3, {}).get(3, 1) and not rules.get(2, {}).get(24, 0)
+        self.by_word = bool(plain) and not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
         self.pieces = [self._spelled(model, i) for i in range(model.get_piece_size())]
         self.encode = lambda texts: [np.array(x, np.int32) for x in model.encode(texts, num_threads=1)]
 
@@ -126,6 +137,14 @@ class PieceTokenizer:
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
 
+#: White space, and what keeps a text from being cut into words: spaces beside another one, at its ends, or between white
+#: space, and the symbol for a space.
+_WHITE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+_UNCUT = rf"\A | \z|  |{_WHITE} {_WHITE}|▁"
+#: Words that are not encoded among others: their first character is white space.
+_ALONE = rf"\A{_WHITE}"
+
+
 class Pair:
     """Both tokenizers in a task, and tables of their tokens."""
 
@@ -134,6 +153,57 @@ class Pair:
         self.bytes_ = [pa.array(t.pieces, pa.binary()) for t in (self.a, self.b)]
         self.digits = [pa.array([str(i) for i in range(len(t.pieces))], pa.string()) for t in (self.a, self.b)]
         self.sizes = [np.array([len(p) for p in t.pieces], np.int64) for t in (self.a, self.b)]
+        self._by_word = self.a.by_word and self.b.by_word
+
+    def _plain(self, side: int, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are not empty, one by one."""
+        return self.b.encode(texts) if side and texts else [self.a.ids(" " + t) for t in texts]
+
+    def _of_names(self, side: int, names: pa.Array) -> pa.Array:
+        """Ids of different words, encoded in rows of JOINED words with a space between."""
+        starts = np.arange(0, len(names), JOINED)
+        rows = pc.binary_join(_lists(names, np.append(starts, len(names))), " ").to_pylist() if len(names) else []
+        flat = np.concatenate([*self._plain(side, rows), np.zeros(0, np.int32)])
+        told, want = np.cumsum(self.sizes[side][flat]), np.cumsum(pc.binary_length(names).to_numpy().astype(np.int64) + 1)
+        ends = np.searchsorted(told, want)
+        if len(told) and told[-1] == want[-1] and (told[ends] == want).all():
+            return _lists(flat, np.append(0, ends + 1))
+        each = self._plain(side, names.to_pylist())
+        return _lists(np.concatenate([*each, np.zeros(0, np.int32)]), _offsets([len(x) for x in each]))
+
+    def _of_words(self, texts: pa.Array) -> list[pa.Array]:
+        """Ids of texts for each tokenizer; every different word is encoded once."""
+        lists = pc.split_pattern(texts, " ")
+        words, bounds = lists.flatten().dictionary_encode(), _offsets(lists.value_lengths())
+        alone = pc.match_substring_regex(words.dictionary, _ALONE).to_numpy(zero_copy_only=False)
+        order = np.argsort(alone, kind="stable")
+        many, few = words.dictionary.filter(pa.array(~alone)), words.dictionary.filter(pa.array(alone)).to_pylist()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        out = []
+        for side in (0, 1):
+            each = self._plain(side, few)
+            rest = _lists(np.concatenate([*each, np.zeros(0, np.int32)]), _offsets([len(x) for x in each]))
+            by_word = pa.concat_arrays([self._of_names(side, many), rest]).take(pa.array(place[words.indices.to_numpy()]))
+            out.append(_lists(by_word.flatten(), _offsets(by_word.value_lengths())[bounds]))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[pa.Array]:
+        """Lists of ids of texts for each tokenizer; empty texts have none."""
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cut = full & self._by_word & ~pc.match_substring_regex(texts, _UNCUT).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(full & ~cut)
+        slow = texts.take(pa.array(whole)).to_pylist()
+        place = np.full(len(texts), -1)
+        place[np.flatnonzero(cut)] = np.arange(int(cut.sum()))
+        place[whole] = int(cut.sum()) + np.arange(len(whole))
+        place[~full] = int(full.sum())
+        fast, out = self._of_words(texts.filter(pa.array(cut))), []
+        for side in (0, 1):
+            each = [*self._plain(side, slow), np.zeros(0, np.int32)]
+            rest = _lists(np.concatenate(each), _offsets([len(x) for x in each]))
+            out.append(pa.concat_arrays([fast[side], rest]).take(pa.array(place)))
+        return out
 
 
 _PAIRS: dict[str, Pair] = {}
@@ -156,28 +226,31 @@ def _offsets(sizes) -> np.ndarray:
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For growing ends of tokens over the same bytes: the tokens (a, b) of each link, and the tokens that end a group."""
-    cuts = np.union1d(ends_a, ends_b)
-    place = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
-    common = ends_b[place] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
-    return np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts), np.flatnonzero(common), place[common]
-
-
-def _encoded(pair: Pair, texts: list[bytes]) -> tuple:
-    """Ids and offsets of both tokenizers for a few texts; texts that do not come back byte for byte have none."""
-    said = [t.decode("utf-8", "replace") for t in texts]
-    full = [i for i, t in enumerate(said) if t]
-    want = [b" " + texts[i] for i in full]
-    ids = [[pair.a.ids(" " + said[i]) for i in full], pair.b.encode([said[i] for i in full]) if full else []]
-    joined = []
-    for side in (0, 1):
-        flat = np.concatenate([*ids[side], np.zeros(0, np.int32)])
-        spelled = _lists(pair.bytes_[side].take(pa.array(flat)), _offsets([len(x) for x in ids[side]]))
-        joined.append(pc.binary_join(spelled, b""))
-    wanted = pa.array(want, pa.binary())
-    exact = pc.and_(pc.equal(joined[0], wanted), pc.equal(joined[1], wanted)).to_pylist() if full else []
-    kept = {i: k for k, (i, ok) in enumerate(zip(full, exact, strict=True)) if ok}
-    none = np.zeros(0, np.int32)
-    return tuple([lists[kept[i]] if i in kept else none for i in range(len(texts))] for lists in ids)
+    marks = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] += 2
+    cuts = marks[np.flatnonzero(marks)]
+    is_a, is_b = cuts & 1, cuts >> 1
+    a, b = np.cumsum(is_a, dtype=np.int64) - is_a, np.cumsum(is_b, dtype=np.int64) - is_b
+    both = cuts == 3
+    return a, b, a[both], b[both]
+
+
+def _encoded(pair: Pair, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(flat ids, offsets) for each tokenizer; texts that do not come back byte for byte have none."""
+    data = pc.fill_null(texts.cast(pa.binary()), b"")
+    try:
+        said = data.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8 do not come back
+        said = pa.array([x.decode("utf-8", "replace") for x in data.to_pylist()], pa.string())
+    found = [(x.flatten().to_numpy(zero_copy_only=False), _offsets(x.value_lengths())) for x in pair.encode(said)]
+    joined = [pc.binary_join(_lists(pair.bytes_[side].take(pa.array(flat)), offs), b"") for side, (flat, offs) in enumerate(found)]
+    wanted = pc.binary_join_element_wise(pa.scalar(b" "), data, pa.scalar(b""))
+    wanted = pc.if_else(pc.equal(pc.binary_length(data), 0), pa.scalar(b""), wanted)
+    exact = pc.and_(pc.equal(joined[0], wanted), pc.equal(joined[1], wanted)).to_numpy(zero_copy_only=False)
+    if exact.all():
+        return found
+    return [(flat[np.repeat(exact, np.diff(offs))], _offsets(np.diff(offs) * exact)) for flat, offs in found]
 
 
 def _encode_rows(files: Broadcast):
@@ -189,16 +262,34 @@ def _encode_rows(files: Broadcast):
             offs, a, n = _offsets(sizes), 0, len(sizes)
             while a < n:
                 b = max(a + 1, int(np.searchsorted(offs, offs[a] + CHUNK, side="right")) - 1)
-                ids = _encoded(pair, [x or b"" for x in col.slice(a, b - a).to_pylist()])
-                yield _told(pair, batch.slice(a, b - a), *ids)
+                yield _told(pair, batch.slice(a, b - a), _encoded(pair, col.slice(a, b - a)))
                 a = b
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _told(pair: Pair, rows: pa.RecordBatch, ids_a: list, ids_b: list) -> pa.RecordBatch:
-    flat = [np.concatenate([*x, np.zeros(0, np.int32)]) for x in (ids_a, ids_b)]
-    offs = [_offsets([len(y) for y in x]) for x in (ids_a, ids_b)]
+def _kind(pieces) -> type:
+    """The number type that stored ids take."""
+    return np.uint16 if len(pieces) <= 1 << 16 else np.uint32
+
+
+def _packed(flat: np.ndarray, offs: np.ndarray, pieces) -> pa.Array:
+    """Ids as bytes, which neither Spark nor Parquet handles one by one."""
+    values = flat.astype(_kind(pieces))
+    bounds = (offs * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(col: pa.Array, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, offsets)."""
+    data, offs = utf8(col)
+    kind = _kind(pieces)
+    return data.view(kind).astype(np.int64), offs // np.dtype(kind).itemsize
+
+
+def _told(pair: Pair, rows: pa.RecordBatch, ids: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    flat, offs = zip(*ids, strict=True)
     ends = [np.cumsum(pair.sizes[side][flat[side]]) for side in (0, 1)]
     links, _, last_a, last_b = aligned(*ends)
     groups, n_groups = [], len(last_a)
@@ -209,11 +300,8 @@ def _told(pair: Pair, rows: pa.RecordBatch, ids_a: list, ids_b: list) -> pa.Reco
     texts = pc.binary_join(_lists(told, at), ";").to_pylist()
     digest = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts], pa.string())
     count = lambda x: pa.array(np.diff(x).astype(np.int64))
-    within = lambda last, off: (last + 1 - np.repeat(off[:-1], np.diff(at))).astype(np.int32)
-    columns = [
-        rows.column("row"), rows.column("doc"), count(offs[0]), count(offs[1]), count(at), count(np.searchsorted(links, offs[0])), digest,
-        _lists(flat[0], offs[0]), _lists(flat[1], offs[1]), _lists(within(last_a, offs[0]), at), _lists(within(last_b, offs[1]), at),
-    ]
+    stored = [_packed(x, o, pair.sizes[side]) for side, (x, o) in enumerate(ids)]
+    columns = [rows.column("row"), rows.column("doc"), count(offs[0]), count(offs[1]), count(at), count(np.searchsorted(links, offs[0])), digest, *stored]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TOKENS.split(", ")])
 
 
@@ -228,25 +316,50 @@ class Sizes:
     b: np.ndarray
 
 
+def _pieces(batches, column: str = "a"):
+    """Batches of about TOKENS tokens; one longer text stands alone."""
+    for batch in batches:
+        offs, a, n = _offsets(pc.binary_length(batch.column(column))), 0, batch.num_rows
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + 2 * TOKENS, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _links(batch: pa.RecordBatch, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """(code, row of the batch) of every link; a code is a * |B| + b."""
-    lists = [batch.column(n) for n in ("a", "b")]
-    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
-    ends = [np.cumsum(s[f]) for s, f in zip((sizes.a, sizes.b), flat, strict=True)]
-    la, lb, _, _ = aligned(*ends)
-    rows = np.repeat(np.arange(len(lists[0])), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    return flat[0][la].astype(np.int64) * len(sizes.b) + flat[1][lb], rows[la]
+    (a, offs), (b, _) = _unpacked(batch.column("a"), sizes.a), _unpacked(batch.column("b"), sizes.b)
+    la, lb, _, _ = aligned(np.cumsum(sizes.a[a]), np.cumsum(sizes.b[b]))
+    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    return a[la] * len(sizes.b) + b[lb], rows[la]
+
+
+def _grouped(sizes: Broadcast):
+    def run(batches):
+        for batch in _pieces(batches):
+            (a, offs), (b, _) = _unpacked(batch.column("a"), sizes.value.a), _unpacked(batch.column("b"), sizes.value.b)
+            _, _, last_a, last_b = aligned(np.cumsum(sizes.value.a[a]), np.cumsum(sizes.value.b[b]))
+            at = np.diff(np.searchsorted(last_a, offs))  # groups of each text
+            rows = np.repeat(np.arange(len(at)), at)
+            number = np.arange(len(rows)) - np.repeat(np.cumsum(at) - at, at)
+            lists = [_lists(x.astype(np.int32), np.append(0, last + 1)) for x, last in ((a, last_a), (b, last_b))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("row", "doc")), pa.array(number), *lists], ["row", "doc", "number", "a_ids", "b_ids"])
+
+    return run
 
 
 def _distinct_codes(sizes: Broadcast):
     def run(batches):
-        held = np.zeros(0, np.int64)
-        for batch in batches:
-            held = np.union1d(held, _links(batch, sizes.value)[0])
-            if len(held) > GATHER:
-                yield pa.RecordBatch.from_arrays([pa.array(held)], ["code"])
-                held = held[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(held)], ["code"])
+        held, parts, n = np.zeros(0, np.int64), [], 0
+        for batch in _pieces(batches):
+            parts.append(np.unique(_links(batch, sizes.value)[0]))
+            n += len(parts[-1])
+            if n > GATHER:
+                held, parts, n = np.unique(np.concatenate([held, *parts])), [], 0
+                if len(held) > GATHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(held)], ["code"])
+                    held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([held, *parts])))], ["code"])
 
     return run
 
@@ -261,6 +374,8 @@ def _spread(codes: np.ndarray, seed: int, n) -> np.ndarray:
 
 def slice_of(codes: np.ndarray, n_b: int, slices: int) -> np.ndarray:
     """All pairs of one B id are in one slice."""
+    if slices == 1:
+        return np.zeros(len(codes), np.int64)
     return _spread(codes % n_b, 101, slices)
 
 
@@ -374,7 +489,7 @@ def _counted(hash_: Broadcast, bounds: np.ndarray, sizes: Broadcast, part: int,
     def run(batches):
         h, s = hash_.value, sizes.value
         counts = np.zeros(len(h.keys), np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             codes, n = np.unique(_links(batch, s)[0], return_counts=True)
             own = slice_of(codes, len(s.b), slices) == part
             found = h.verified(codes[own])
@@ -411,7 +526,7 @@ def _tree_sum(vectors: DataFrame, branches: int) -> DataFrame:
 def _looked_up(hash_: Broadcast, counts: Broadcast, sizes: Broadcast, part: int, slices: int):
     def run(batches):
         h, s, (count, best) = hash_.value, sizes.value, counts.value
-        for batch in batches:
+        for batch in _pieces(batches):
             codes, rows = _links(batch, s)
             own = slice_of(codes, len(s.b), slices) == part
             codes, rows = codes[own], rows[own]
@@ -433,9 +548,9 @@ _DIGEST = ["row", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 class CrossAlignment:
     """Two tokenizers aligned over the texts of docs.
 
-    `tokens`: (row, doc, n_a, n_b, n_groups, n_links, groups_sha256, a, b, a_ends, b_ends), one row for each row of docs,
-    with the ids of both tokenizers and, for each group, the number of tokens up to its end.
-    `pairs()`: (a_id, b_id, count) of every linked pair.  `links()`: digest columns with n_best and count_sum.
+    `tokens`: (row, doc, n_a, n_b, n_groups, n_links, groups_sha256, a, b), one row for each row of docs; a and b are the
+    ids, as bytes.  `groups()`: (row, doc, number, a_ids, b_ids) of every group.  `pairs()`: (a_id, b_id, count) of every
+    linked pair.  `links()`: the columns of `tokens` but ids, with n_best and count_sum.
 
     Null ids stay null; rows that share an id stay rows of their own; other columns of docs, whatever their names, play no
     part.  An empty table gives empty results.
@@ -469,6 +584,10 @@ class CrossAlignment:
         vectors = self._ids.coalesce(branches).mapInArrow(_counted(shared, bounds, self._sizes, part, self.slices), "shard int, branch int, counts binary")
         return shared, _tree_sum(vectors, branches)
 
+    def groups(self) -> DataFrame:
+        rows = self.tokens.select("row", "doc", "a", "b")
+        return rows.mapInArrow(_grouped(self._sizes), "row long, doc long, number long, a_ids array<int>, b_ids array<int>")
+
     def pairs(self) -> DataFrame:
         n_b, each = self.n_b, None
 
@@ -493,7 +612,7 @@ class CrossAlignment:
             best = np.zeros(self.n_b, np.int64)
             np.maximum.at(best, hash_.value.keys % self.n_b, count)
             run = _looked_up(hash_, context.broadcast((count, best)), self._sizes, part, self.slices)
-            schema = _TOKENS.partition(", a array")[0] + ", n_best long, count_sum long"
+            schema = _TOKENS.partition(", a binary")[0] + ", n_best long, count_sum long"
             rows = self.tokens.select(*_DIGEST, "a", "b").mapInArrow(run, schema)
             each = rows if each is None else each.union(rows)
         if self.slices > 1:
