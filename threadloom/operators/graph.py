@@ -152,9 +152,28 @@ _NODE = ("id", "type", "subtype", "role", "language", "content")
 _EDGE = ("source", "target", "relation")
 
 
-def graph_struct(messages: DataFrame) -> DataFrame:
-    """(conv_id, graph): nodes and edges in order of emission, as one struct for each conversation."""
-    items = numbered(messages)
+#: Nodes of a graph that is one row.
+MAX_NODES = 1_000_000
+
+
+def graph_sizes(items: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(conv_id, nodes, edges, fits): whether a conversation's graph is small enough to be one row.  Nothing is gathered."""
+    sizes = items.groupBy("conv_id").agg(F.count_if("is_new").alias("nodes"), F.count("edge_seq").alias("edges"))
+    return sizes.withColumn("fits", (F.col("nodes") <= max_nodes) & (F.col("edges") <= max_nodes * 8))
+
+
+def graph_struct(messages: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """(conv_id, graph): nodes and edges in order of emission, as one struct for each conversation.
+
+    Conversations beyond max_nodes (`graph_sizes` lists them) are left out before anything is gathered, and stay in the
+    node and edge tables; with None, all are rows.
+    """
+    return struct_of(numbered(messages), max_nodes)
+
+
+def struct_of(items: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    if max_nodes is not None:
+        items = items.join(graph_sizes(items, max_nodes).where("not fits").select("conv_id"), "conv_id", "left_anti")
     role = F.when(F.col("kind") == 0, F.col("role"))
     node = F.struct("id", by_kind(0).alias("type"), by_kind(1).alias("subtype"), role.alias("role"), "language", "content")
     edge = F.struct(source_of().alias("source"), F.col("id").alias("target"), by_kind(2).alias("relation"))
@@ -165,9 +184,14 @@ def graph_struct(messages: DataFrame) -> DataFrame:
     return gathered.select("conv_id", F.struct(F.col("n.x").alias("nodes"), F.col("e.x").alias("edges")).alias("graph"))
 
 
-def graph_json(messages: DataFrame) -> DataFrame:
-    """(conv_id, graph_json): compact JSON; absent fields are left out.
+def graph_json(messages: DataFrame, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """(conv_id, graph_json): compact JSON; absent fields are left out.  Graphs beyond max_nodes: see `graph_struct`."""
+    return graph_struct(messages, max_nodes).select("conv_id", F.to_json("graph").alias("graph_json"))
 
-    A conversation's graph is one row and so below 2 GB; larger ones stay in the node and edge tables.
-    """
-    return graph_struct(messages).select("conv_id", F.to_json("graph").alias("graph_json"))
+
+def graph_json_or_reason(messages: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(conv_id, graph_json, nodes, reason) of every conversation: its JSON, or why it has none."""
+    items = numbered(messages)
+    rows = struct_of(items, max_nodes).select("conv_id", F.to_json("graph").alias("graph_json"))
+    reason = F.when(~F.col("fits"), F.concat(F.lit("Graph too large: "), "nodes", F.lit(" nodes")))
+    return graph_sizes(items, max_nodes).join(rows, "conv_id", "left").select("conv_id", "graph_json", "nodes", reason.alias("reason"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.texts import STOP_WORDS
 from ..operators.payloads import CLIPBOARD_PREAMBLE, INJECT_PREAMBLE
-from .queries import DECORATED
+from .queries import DECORATED, JSON_NODES
 
 
 def _text(value: str) -> str:
@@ -171,8 +171,13 @@ _CLIPBOARD = f"""SELECT conv_id, {_text(CLIPBOARD_PREAMBLE)} || '{{' || chr(10)
   (SELECT conv_id, string_agg({_pretty(("id", "type", "subtype", "role", "language", "content"))}, {_BREAK} ORDER BY node_seq) AS ns FROM node GROUP BY conv_id)
   LEFT JOIN (SELECT conv_id, string_agg({_pretty(("source", "target", "relation"))}, {_BREAK} ORDER BY edge_seq) AS es FROM edge GROUP BY conv_id) USING (conv_id)"""
 
+_COUNTS = "SELECT conv_id, CAST(n AS BIGINT) AS nodes, CAST(coalesce(e, 0) AS BIGINT) AS edges FROM (SELECT conv_id, count(*) AS n FROM node GROUP BY 1) LEFT JOIN (SELECT conv_id, count(*) AS e FROM edge GROUP BY 1) USING (conv_id)"
+_DEGREE = "SELECT conv_id, id, CAST(coalesce(d, 0) AS BIGINT) AS degree FROM node LEFT JOIN (SELECT conv_id, id, count(*) AS d FROM (SELECT conv_id, source AS id FROM edge UNION ALL SELECT conv_id, target FROM edge) GROUP BY ALL) USING (conv_id, id)"
 _TYPE = "CASE coalesce(nullif(role, ''), nullif(subtype, ''), nullif(type, ''), 'artifact') WHEN 'code' THEN 'artifact' ELSE coalesce(nullif(role, ''), nullif(subtype, ''), nullif(type, ''), 'artifact') END"
 
+_FILTERED = f"""SELECT edge.* FROM edge JOIN (SELECT conv_id, id AS source, {_TYPE} AS s FROM node) USING (conv_id, source)
+  JOIN (SELECT conv_id, id AS target, {_TYPE} AS t FROM node) USING (conv_id, target) WHERE s NOT IN ('link', 'artifact', 'system') AND t NOT IN ('link', 'artifact', 'system')"""
+
 
 def _labels(rows: str, keys: str) -> str:
     """CTEs from rows(keys, text) to tl(keys, label)."""
@@ -205,6 +210,11 @@ ORACLES = {
     "read_graph_json_nodes": _graph("SELECT * FROM node"),
     "read_graph_json_edges": _graph("SELECT * FROM edge"),
     "graph_json": f"WITH {GRAPH_STEPS}, {_JSON} SELECT * FROM gj",
+    "rejected_payloads": """SELECT DISTINCT conv_id, CASE conv_id % 7 WHEN 1 THEN 'malformed JSON' WHEN 2 THEN 'no payload' WHEN 3 THEN 'no messages' WHEN 4 THEN 'no roles' END AS reason
+      FROM conversations WHERE conv_id % 7 BETWEEN 1 AND 4""",
+    "stored_graph_nodes": _graph("SELECT * FROM node"),
+    "graph_json_or_reason": f"""WITH {GRAPH_STEPS}, {_JSON} SELECT conv_id, CASE WHEN n <= {JSON_NODES} THEN graph_json END AS graph_json, n AS nodes, CASE WHEN n > {JSON_NODES} THEN 'Graph too large: ' || n || ' nodes' END AS reason
+      FROM (SELECT conv_id, count(*) AS n FROM node GROUP BY 1) JOIN gj USING (conv_id)""",
     "extraction_outcome": """SELECT page_id, CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS message_count, CASE WHEN n IS NULL THEN 'No conversation found on this page' END AS reason
       FROM pages LEFT JOIN (SELECT conv_id AS page_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (page_id)""",
     "detect_platform": f"""SELECT page_id, CASE WHEN contains(h, 'chat.openai') OR contains(h, 'chatgpt') THEN 'chatgpt' WHEN contains(h, 'claude') THEN 'claude' WHEN contains(h, 'gemini') THEN 'gemini' ELSE 'generic' END AS platform
@@ -246,8 +256,10 @@ ORACLES = {
     "artifact_ids": _graph("SELECT conv_id, node_seq, id FROM node WHERE type = 'artifact'"),
     "graph_nodes": _graph("SELECT * FROM node"),
     "graph_edges": _graph("SELECT * FROM edge"),
-    "graph_counts": _graph("SELECT conv_id, CAST(n AS BIGINT) AS nodes, CAST(coalesce(e, 0) AS BIGINT) AS edges FROM (SELECT conv_id, count(*) AS n FROM node GROUP BY 1) LEFT JOIN (SELECT conv_id, count(*) AS e FROM edge GROUP BY 1) USING (conv_id)"),
-    "node_degree": _graph("SELECT conv_id, id, CAST(coalesce(d, 0) AS BIGINT) AS degree FROM node LEFT JOIN (SELECT conv_id, id, count(*) AS d FROM (SELECT conv_id, source AS id FROM edge UNION ALL SELECT conv_id, target FROM edge) GROUP BY ALL) USING (conv_id, id)"),
+    "graph_counts": _graph(_COUNTS),
+    "clustered_graph_counts": _graph(_COUNTS),
+    "node_degree": _graph(_DEGREE),
+    "clustered_node_degree": _graph(_DEGREE),
     "display_type": _graph(f"SELECT conv_id, id, {_TYPE} AS display_type FROM node"),
     "text_label": f"WITH {MESSAGES}, src AS (SELECT conv_id, turn, content AS text FROM msg), {_labels('src', 'conv_id, turn')} SELECT * FROM tl",
     "url_label": f"WITH {MESSAGES}, {LINKS}, {_url_parts('link', 'conv_id, turn, ord')} SELECT conv_id, turn, ord, {_URL} AS label FROM up",
@@ -258,8 +270,8 @@ ORACLES = {
     "filter_graph_nodes": _graph("SELECT * FROM node WHERE coalesce(subtype, '') <> 'variable'"),
     "filter_graph_edges": _graph("SELECT * FROM edge WHERE relation <> 'mentions'"),
     "filter_types_nodes": _graph(f"SELECT * FROM node WHERE {_TYPE} NOT IN ('link', 'artifact', 'system')"),
-    "filter_types_edges": _graph(f"""SELECT edge.* FROM edge JOIN (SELECT conv_id, id AS source, {_TYPE} AS s FROM node) USING (conv_id, source)
-      JOIN (SELECT conv_id, id AS target, {_TYPE} AS t FROM node) USING (conv_id, target) WHERE s NOT IN ('link', 'artifact', 'system') AND t NOT IN ('link', 'artifact', 'system')"""),
+    "filter_types_edges": _graph(_FILTERED),
+    "clustered_filter_edges": _graph(_FILTERED),
     "graph_stream_nodes": _graph("SELECT * FROM node"),
     "graph_stream_edges": _graph("SELECT * FROM edge"),
     "inject_payload": f"WITH {GRAPH_STEPS}, {_JSON} SELECT conv_id, {_text(INJECT_PREAMBLE)} || graph_json AS payload FROM gj",

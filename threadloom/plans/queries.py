@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..operators import graph, messages, payloads, review
 from ..sources import messages as source
+from ..sources import store
 from ..sources import pages as page_source
 from ..sources import transcripts
+from ..sources.stored import work_folder
 from ..streaming import graph_stream
 
 #: Valid in Spark SQL and DuckDB.
@@ -21,6 +23,8 @@ DECORATED = """
  || CASE WHEN turn % 5 = 2 THEN concat(' **term ', CAST(conv_id % 7 AS VARCHAR(20)), '** **** **open') ELSE '' END
 """
 HIDDEN = ["variable"]
+#: Nodes of a graph in JSON; some of the given conversations have more.
+JSON_NODES = 30
 #: Several types at once, system turns among them.
 HIDDEN_TYPES = ["link", "artifact", "system"]
 
@@ -68,6 +72,35 @@ def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph_stream.streamed_graph(spark, messages_of)
 
 
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON lists, some of them cut short, absent, empty or without roles by their ids."""
+    rows = _payloads(spark, sf_dir)
+    kind = F.pmod("conv_id", F.lit(7))
+    text = F.col("payload")
+    bad = F.when(kind == 1, F.expr("substring(payload, 1, length(payload) - 2)")).when(kind == 2, F.lit(None)).when(kind == 3, "[]")
+    bad = bad.when(kind == 4, F.regexp_replace(text, '"role":"[a-z]*",', "")).otherwise(text)
+    return source.malformed(rows.withColumn("payload", bad))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes as a store gives them back whose conversations were written twice: as they were after their first turn, and whole."""
+    kept = store.GraphStore(spark, work_folder(spark), buckets=16)
+    talks = decorated(spark, sf_dir)
+    kept.write(graph.graph_nodes(talks.where("turn = 0")))
+    kept.write(graph.graph_nodes(talks))
+    kept.vacuum()
+    return kept.read()
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark)
+    return store.write_clustered(_items(spark, sf_dir), "items_" + path.rpartition("-")[2], path, buckets=16)
+
+
+def _on_clustered(operator):
+    return lambda spark, sf_dir: operator(_clustered(spark, sf_dir))
+
+
 def _on_messages(operator):
     return lambda spark, sf_dir: operator(decorated(spark, sf_dir))
 
@@ -152,10 +185,13 @@ def _document_keywords(spark, sf_dir):
 
 QUERIES = {
     "read_messages": lambda s, d: source.read_messages(_payloads(s, d)),
+    "rejected_payloads": _rejects,
     "latest_snapshot": _latest,
+    "stored_graph_nodes": _round_trip,
     "read_graph_json_nodes": lambda s, d: _stored_graph(s, d)[0],
     "read_graph_json_edges": lambda s, d: _stored_graph(s, d)[1],
     "graph_json": _on_messages(graph.graph_json),
+    "graph_json_or_reason": _on_messages(lambda m: graph.graph_json_or_reason(m, JSON_NODES)),
     "extraction_outcome": _outcome,
     "detect_platform": lambda s, d: _table(s, d, "pages").select("page_id", transcripts.detect_platform("url").alias("platform")),
     "platform_config": lambda s, d: transcripts.platform_config(_table(s, d, "pages")),
@@ -195,6 +231,9 @@ QUERIES = {
     "graph_edges": lambda s, d: _graph(s, d)[1],
     "graph_counts": _on_items(review.counts_of),
     "node_degree": _on_items(review.degree_of),
+    "clustered_graph_counts": _on_clustered(review.counts_of),
+    "clustered_node_degree": _on_clustered(review.degree_of),
+    "clustered_filter_edges": _on_clustered(lambda items: review.filter_items(items, HIDDEN_TYPES)[1]),
     "display_type": _display_types,
     "text_label": _text_labels,
     "url_label": _url_labels,

@@ -1,8 +1,8 @@
-"""Reading and storing messages and graphs."""
+"""Reading messages and graphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -18,24 +18,47 @@ def from_conversations(table: DataFrame) -> DataFrame:
     return kept.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"))
 
 
+def parsed_messages(payloads: DataFrame, key: str = "conv_id", payload: str = "payload") -> DataFrame:
+    """One row for each message of JSON lists, and one for each list that has none to give: (key, turn, role, content,
+    reason), all from one parse.
+
+    reason is null for messages; else it says why a list gives nothing: `no payload`, `malformed JSON`, `no messages`, or
+    `no roles`, where every entry lacks its role.
+    """
+    parsed = payloads.select(key, payload, F.from_json(payload, MESSAGES).alias("items"))
+    kept = F.filter("items", lambda m: F.coalesce(m["role"], F.lit("")) != "")
+    told = parsed.select(key, F.col(payload).isNull().alias("absent"), F.col("items").isNull().alias("broken"), (F.size("items") == 0).alias("empty"), kept.alias("kept"))
+    rows = told.select(key, "absent", "broken", "empty", F.posexplode_outer("kept").alias("turn", "m"))
+    reason = F.when(F.col("absent"), "no payload").when(F.col("broken"), "malformed JSON").when(F.col("empty"), "no messages").when(F.col("turn").isNull(), "no roles")
+    content = F.when(F.col("turn").isNotNull(), F.coalesce("m.content", F.lit("")))
+    return rows.select(key, F.col("turn").cast("long").alias("turn"), "m.role", content.alias("content"), reason.alias("reason"))
+
+
 def read_messages(payloads: DataFrame, key: str = "conv_id", payload: str = "payload") -> DataFrame:
     """Messages of JSON lists; those without a role are dropped and take no number.  Malformed JSON gives no rows."""
-    items = F.from_json(payload, MESSAGES)
-    kept = F.filter(items, lambda m: F.coalesce(m["role"], F.lit("")) != "")
-    rows = payloads.select(key, F.posexplode(kept).alias("turn", "m"))
-    return rows.select(key, F.col("turn").cast("long").alias("turn"), "m.role", F.coalesce("m.content", F.lit("")).alias("content"))
+    return parsed_messages(payloads, key, payload).where("reason is null").drop("reason")
 
 
 def malformed(payloads: DataFrame, key: str = "conv_id", payload: str = "payload") -> DataFrame:
-    """The rows that `read_messages` cannot parse."""
-    return payloads.where(F.from_json(payload, MESSAGES).isNull()).select(key, payload)
+    """(key, reason) of the lists that give no message."""
+    return parsed_messages(payloads, key, payload).where("reason is not null").select(key, "reason")
 
 
 def latest_snapshot(snapshots: DataFrame, key: str = "conv_id", at: str = "extracted_at") -> DataFrame:
-    """The last row of each conversation; of equal times the largest row.  One aggregation, without a window."""
+    """The last row of each conversation; of equal times the largest row, and of equal rows one.
+
+    The aggregation runs over keys and times alone; the rows it names are fetched by a semi-join.  Only conversations with
+    several rows at their last time, told by a second narrow count, compare whole rows.  A null time is before all others.
+    """
+    narrow = snapshots.select(key, at)
+    last = narrow.groupBy(key).agg(F.max(F.struct(at)).alias("__last")).select(F.col(key).alias("__key"), F.col(f"__last.{at}").alias("__at"))
+    is_last = F.col(key).eqNullSafe(F.col("__key")) & F.col(at).eqNullSafe(F.col("__at"))
+    several = narrow.join(last, is_last, "left_semi").groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__tied"))
+    tied = F.col(key).eqNullSafe(F.col("__tied"))
+    found = snapshots.join(last, is_last, "left_semi")
     rest = [c for c in snapshots.columns if c not in (key, at)]
-    best = snapshots.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("__best"))
-    return best.select(key, "__best.*").select(*snapshots.columns)
+    best = found.join(several, tied, "left_semi").groupBy(key).agg(F.max(F.struct(at, *rest)).alias("__best")).select(key, "__best.*")
+    return found.join(several, tied, "left_anti").unionByName(best.select(*snapshots.columns))
 
 
 def read_graph_json(graphs: DataFrame, key: str = "conv_id", graph: str = "graph_json") -> tuple[DataFrame, DataFrame]:
@@ -53,29 +76,3 @@ def extraction_outcome(pages: DataFrame, messages: DataFrame, key: str = "page_i
     status = F.when(F.col("n").isNull(), "error").otherwise("ok")
     reason = F.when(F.col("n").isNull(), "No conversation found on this page")
     return joined.select(key, status.alias("status"), F.coalesce("n", F.lit(0)).alias("message_count"), reason.alias("reason"))
-
-
-def write_graph(rows: DataFrame, path: str, key: str = "conv_id", buckets: int = 64) -> None:
-    """Writes node or edge rows to a bucketed store; a conversation's new rows replace its old ones.
-
-    Only the buckets that hold new conversations are read and rewritten, through a copy beside the store, since a
-    folder cannot be read and overwritten at once.
-    """
-    spark = rows.sparkSession
-    bucket = F.pmod(F.hash(key), F.lit(buckets))
-    new = rows.withColumn("bucket", bucket)
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    write = lambda df, to, mode: df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(to)
-    if system.exists(files):
-        touched = new.select("bucket").distinct()
-        ids = new.select(key).distinct()
-        old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(ids, key, "left_anti")
-        beside = path.rstrip("/") + "_next"
-        write(new.unionByName(old.select(*new.columns)), beside, "overwrite")
-        new = spark.read.parquet(beside)
-    write(new, path, "overwrite")
-
-
-def read_graph(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
