@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from threadloom.operators import graph, payloads, review
 from threadloom.plans import queries
 from threadloom.sources import messages as source
-from threadloom.streaming.graph_stream import graph_stream
+from threadloom.streaming import graph_stream
 
 SCHEMA = "conv_id long, turn long, role string, content string"
 TALK = [
@@ -107,22 +110,86 @@ def test_store_replaces_conversations(spark, talk, tmp_path):
     assert got.where("conv_id = 2").count() == other.count()
 
 
+def _in_turn(spark, talks, folder, parts):
+    """Files by ranges of turns, each with a later time than the one before."""
+    for number, rows in enumerate(parts):
+        talks.where(rows).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            if (stamp := f.stat().st_mtime) and not f.name.startswith("seen-"):
+                os.utime(f, (stamp + 10 * number, stamp + 10 * number))
+                f.rename(folder / f"seen-{number}-{f.name}")
+
+
+def _streamed(spark, talks, folder, out, idle=None):
+    session = graph_stream.stream_session(spark)
+    stream = session.readStream.schema(talks.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    graph_stream.append_graph(stream, str(out), idle)
+    return graph_stream.read_appended(spark, str(out))
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     talks = queries.decorated(spark, sf_dir).where("conv_id < 6")
-    for part in range(3):
-        talks.where(f"turn >= {part * 2} and turn < {part * 2 + 2}" if part < 2 else "turn >= 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    late = spark.createDataFrame([(1, 0, "user", "late")], SCHEMA)
-    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(talks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = graph_stream(stream).writeStream.format("memory").queryName("graphs").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    got = spark.table("graphs")
-    assert got.where("kind = 'late'").count() >= 1
-    if got.where("kind = 'late'").count() == 1:
-        want = sorted(graph.graph_nodes(talks).select("conv_id", "node_seq", "id", "content").collect())
-        assert sorted(got.where("kind = 'node'").select("conv_id", "seq", "id", "content").collect()) == want
-        pairs = sorted(graph.graph_edges(talks).select("conv_id", "edge_seq", "source", "target").collect())
-        assert sorted(got.where("kind = 'edge'").select("conv_id", "seq", "source", "target").collect()) == pairs
+    talks = talks.withColumn("content", F.when((F.col("conv_id") == 1) & (F.col("turn") == 1), F.lit(None)).otherwise(F.col("content")))
+    _in_turn(spark, talks, tmp_path / "in", ["turn < 2", "turn >= 2 and turn < 4", "turn >= 4"])
+    nodes, edges, late = _streamed(spark, talks, tmp_path / "in", tmp_path / "out")
+    assert late.count() == 0
+    assert sorted(nodes.collect(), key=str) == sorted(graph.graph_nodes(talks).select(*nodes.columns).collect(), key=str)
+    assert sorted(edges.collect(), key=str) == sorted(graph.graph_edges(talks).select(*edges.columns).collect(), key=str)
+    assert nodes.where("conv_id = 1 and type = 'task'").count() == talks.where("conv_id = 1").count()
+
+
+def test_stream_goes_on_and_tells_late_messages(spark, tmp_path):
+    rows = [(1, 0, "user", "Spark joins data"), (1, 1, "user", "Partition data"), (2, 0, "user", "alone"), (1, 1, "bot", "late one"), (1, 0, "bot", None), (1, 2, "user", "Spark joins again")]
+    talks = spark.createDataFrame(rows, SCHEMA)
+    _in_turn(spark, talks, tmp_path / "in", ["conv_id = 2 or role = 'user' and turn = 0"])
+    _streamed(spark, talks, tmp_path / "in", tmp_path / "out")
+    _in_turn(spark, talks, tmp_path / "in", ["role = 'user' and conv_id = 1 and turn = 1", "role = 'bot' or turn = 2"])
+    nodes, edges, late = _streamed(spark, talks, tmp_path / "in", tmp_path / "out")
+    assert sorted((r.turn, r.role) for r in late.collect()) == [(0, "bot"), (1, "bot")]
+    kept = talks.where("role = 'user'")
+    assert sorted(nodes.collect(), key=str) == sorted(graph.graph_nodes(kept).select(*nodes.columns).collect(), key=str)
+    assert sorted(edges.collect(), key=str) == sorted(graph.graph_edges(kept).select(*edges.columns).collect(), key=str)
+    whole = graph_stream.streamed_graph(spark, lambda session, stream: session.readStream.schema(talks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")) if stream else talks)
+    assert whole[0].where("type = 'task'").count() == len(rows)
+
+
+def test_idle_conversation_starts_anew(spark, tmp_path):
+    talks = spark.createDataFrame([(1, 0, "user", "Spark joins data"), (1, 1, "user", "Spark joins data")], SCHEMA)
+    _in_turn(spark, talks, tmp_path / "in", ["turn = 0"])
+    _streamed(spark, talks, tmp_path / "in", tmp_path / "out", idle="1 hour")
+    _in_turn(spark, talks, tmp_path / "in", ["turn = 1"])
+    nodes, _, _ = _streamed(spark, talks, tmp_path / "in", tmp_path / "out", idle="1 hour")
+    assert sorted(r.id for r in nodes.where("type = 'task'").collect()) == ["t0", "t1"]
+
+
+def test_one_giant_conversation(spark, sf_dir):
+    """A conversation with a third of all rows, over many ranges of turns: equal to numbering it in one go."""
+    talks = queries.decorated(spark, sf_dir).limit(60)
+    third = talks.withColumn("turn", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long") * 3).withColumn("conv_id", F.lit(-1).cast("long"))
+    both = talks.union(third)
+    small, large = (graph.numbered(both, span).select("conv_id", "turn", "kind", "ord", "id", "is_new", "node_seq", "edge_seq", "before") for span in (4, 1 << 40))
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+    rows = graph.nodes_of(graph.numbered(both, 4)).where("conv_id = -1").orderBy("node_seq").collect()
+    assert [r.node_seq for r in rows] == list(range(len(rows)))
+    edges = graph.edges_of(graph.numbered(both, 4)).where("conv_id = -1").orderBy("edge_seq").collect()
+    assert [r.edge_seq for r in edges] == list(range(len(edges)))
+    for letter in "ta":
+        assert [int(r.id[1:]) for r in rows if r.id[0] == letter] == list(range(sum(r.id[0] == letter for r in rows)))
+
+
+def test_contents_pass_no_window(spark, sf_dir):
+    parts = graph.stored(graph.message_parts(queries.decorated(spark, sf_dir)).withColumn("row", F.monotonically_increasing_id()))
+    plan = graph.numbered_parts(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [" in line and "items" in line]
+
+
+def test_repeated_turns_and_rows(spark):
+    rows = [(1, 0, "user", "alpha beta"), (1, 0, "user", "alpha beta"), (1, 0, "bot", "gamma alpha"), (1, 1, "user", "beta"), (None, 0, "user", "x"), (1, None, "user", "y")]
+    items = graph.numbered(spark.createDataFrame(rows, SCHEMA))
+    nodes, edges = graph.nodes_of(items).collect(), graph.edges_of(items).collect()
+    assert sorted(n.id for n in nodes if n.type == "task") == ["t0", "t1", "t2", "t3"]
+    assert sorted(n.node_seq for n in nodes) == list(range(len(nodes))) and len({n.id for n in nodes}) == len(nodes)
+    assert sorted(e.edge_seq for e in edges) == list(range(len(edges))) and {e.target for e in edges} <= {n.id for n in nodes}
 
 
 def test_empty_and_null(spark):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.functions import dom, porter, rank, texts
-from threadloom.operators import graph, review
+from threadloom.operators import graph, messages, review
 from threadloom.sources import pages as page_source
 from threadloom.sources import transcripts
 
@@ -106,6 +108,51 @@ def _walked(stems, best):
     return list(dict.fromkeys(out))
 
 
+def _one_by_one(stems, window=3):
+    """Scores of one message, vertex by vertex."""
+    weight = {}
+    for i, a in enumerate(stems):
+        for b in stems[i + 1 : i + window]:
+            if a != b:
+                for x, y in ((a, b), (b, a)):
+                    weight.setdefault(x, {}).setdefault(y, 0)
+                    weight[x][y] += 1
+    score = dict.fromkeys(stems, 1.0)
+    for _ in range(rank.ROUNDS):
+        new = {v: 0.15 + 0.85 * sum(score[u] * weight[u][v] / sum(weight[u].values()) for u in weight if v in weight[u]) for v in score}
+        moved, score = max((abs(new[v] - score[v]) for v in score), default=0), new
+        if moved < rank.SETTLED:
+            break
+    return score
+
+
+_STEMS = st.lists(st.sampled_from(["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op"]), max_size=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), _STEMS), max_size=8), st.integers(2, 5))
+def test_batches_rank_like_single_messages(rows, window):
+    sizes = np.array([len(r or []) for r in rows], np.int64)
+    flat = pa.array([s for r in rows for s in r or []], pa.string())
+    g = rank.ranked(flat, sizes, window)
+    for i, r in enumerate(rows):
+        here = g.vertex_row == i
+        got = dict(zip(np.array(g.stems.to_pylist(), object)[here], g.score[here], strict=True))
+        assert got == pytest.approx(_one_by_one(r or [], window), abs=1e-12)
+    at, shown, keys = rank.phrases(flat, flat, sizes, window=window)
+    for i, r in enumerate(rows):
+        one = rank.keywords_of(r or [], r or [], window=window)
+        assert [(p, k) for a, p, k in zip(at.tolist(), shown.to_pylist(), keys.to_pylist(), strict=True) if a == i] == one
+
+
+def test_joins_rank_like_batches(spark):
+    rows = [(1, "Spark joins partition data. Spark partition keys shuffle data before joins."), (2, "alone"), (3, None), (4, ""), (5, " ".join(f"w{chr(97 + i % 7)}{chr(97 + i % 11)}x" for i in range(400)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {(r.doc_id, r.stem): r.score for r in messages.textrank_scores(df, ("doc_id",), "text").collect()}
+    two = {(r.doc_id, r.stem): r.score for r in messages.textrank_by_joins(df, ("doc_id",), "text").collect()}
+    assert two == pytest.approx(one, abs=1e-9) and {k for k, _ in two} == {1, 2, 5}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["ab", "cd", "ef", "gh", "ij", "kl", "mn"]), max_size=30))
 def test_phrases_follow_a_walk(stems):

@@ -125,6 +125,12 @@ def _page_messages(spark, sf_dir):
     return page_source.page_messages(_table(spark, sf_dir, "pages"))
 
 
+def _page_outcome(spark, sf_dir):
+    """Pages by what was found on them; an outcome for every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return source.extraction_outcome(pages, page_source.extracted(pages))
+
+
 def _roles(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")
     return talks.select("conv_id", "turn", transcripts.resolve_role("role", "turn").alias("role"))
@@ -196,6 +202,7 @@ QUERIES = {
     "detect_platform": lambda s, d: _table(s, d, "pages").select("page_id", transcripts.detect_platform("url").alias("platform")),
     "platform_config": lambda s, d: transcripts.platform_config(_table(s, d, "pages")),
     "page_messages": _page_messages,
+    "page_outcome": _page_outcome,
     "page_graph_nodes": lambda s, d: graph.graph_nodes(_page_messages(s, d).withColumnRenamed("page_id", "conv_id")),
     "html_to_markdown": lambda s, d: _table(s, d, "pages").select("page_id", page_source.html_to_markdown("html", "url").alias("markdown")),
     "resolve_role": _roles,

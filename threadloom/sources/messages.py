@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import BUCKETS, GraphStore
+
 MESSAGES = "array<struct<role:string,content:string>>"
 GRAPH = (
     "struct<nodes:array<struct<id:string,type:string,subtype:string,role:string,language:string,content:string>>,"
@@ -76,3 +78,12 @@ def extraction_outcome(pages: DataFrame, messages: DataFrame, key: str = "page_i
     status = F.when(F.col("n").isNull(), "error").otherwise("ok")
     reason = F.when(F.col("n").isNull(), "No conversation found on this page")
     return joined.select(key, status.alias("status"), F.coalesce("n", F.lit(0)).alias("message_count"), reason.alias("reason"))
+
+
+def write_graph(rows: DataFrame, path: str, key: str = "conv_id", buckets: int = BUCKETS) -> int:
+    """Writes node or edge rows to a `GraphStore`; a conversation's new rows replace its old ones.  Returns the version."""
+    return GraphStore(rows.sparkSession, path, key, buckets).write(rows)
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    return GraphStore(spark, path).read()

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from .stored import stored
+from .transcripts import LABELS, parse_transcript
 
 MESSAGES = "page_id long, turn long, role string, content string, method string"
 
@@ -34,3 +36,21 @@ def page_messages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "turn", "role", "content", "method"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, MESSAGES)
+
+
+def with_transcripts(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Messages found on pages and, for pages without any, those of a transcript that their text holds (method transcript).
+
+    A stored page has no selection, so its whole visible text stands for it, and only if two lines at least begin with a
+    speaker's label; other pages stay without messages.
+    """
+    missing = pages.join(found.select("page_id").distinct(), "page_id", "left_anti")
+    text = missing.select("page_id", html_to_markdown("html", "url").alias("raw"))
+    labelled = F.size(F.regexp_extract_all("raw", F.lit(f"(?im)^(?:{LABELS})\\s*:"), 0)) > 1
+    told = parse_transcript(text.where(labelled), "page_id").withColumn("method", F.lit("transcript"))
+    return found.unionByName(told)
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """All messages of pages: those of the page's structure, or else of a transcript; pages are read into trees once."""
+    return with_transcripts(pages, stored(page_messages(pages)))

@@ -111,12 +111,16 @@ def graph_stream(messages: DataFrame, idle: str | None = None) -> DataFrame:
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep state in RocksDB; other settings as in `spark`."""
+    """A session of the same application whose streams keep state in RocksDB; other settings as in `spark`.
+
+    It makes no batches without data: runs over what is there would never end, as timers may always be due later.
+    """
     session = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         if (value := spark.conf.get(name, None)) is not None:
             session.conf.set(name, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return session
 
 
