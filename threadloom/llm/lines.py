@@ -16,6 +16,7 @@ removed itself; the result so depends on no order of work.  Blank lines (white s
    ones by it, under length and positional filters and the parity filter: more than n + m - 2 o differing bits, more than
    that many differing words.  If that word is one of the most frequent, all common words are, and two of them are among
    the first n - o + 2 and m - o + 2; such lines meet by pairs of frequent words, so no single word makes a large group.
+   Lines of more than LONG words, which have too many pairs, meet by single words and a class of their length.
 5. Compared lines are verified on their words.
 
 Word sets of up to ALONE words can only match equal ones; these meet by the set itself, in a pre-aggregated grouping, and
@@ -24,6 +25,8 @@ take no part in steps 3 to 5, where their common words would make large groups.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,8 @@ SLOTS = 1 << 20
 FLAGS = 1 << 23
 #: Words counted OFTEN only meet in pairs.
 OFTEN = 1 << 12
+#: Lines of more words have no pairs of words.
+LONG = 64
 #: Pairs of neighbours among the words of least hash that name a line's places.
 PLACES = 5
 #: Lines of a place that the others are compared with.
@@ -158,30 +163,44 @@ def _with_families(lines: DataFrame) -> DataFrame:
     return pairs
 
 
-def _keys(lines: DataFrame, share: int) -> DataFrame:
+def _keys(lines: DataFrame, share: int, larger: bool) -> DataFrame:
     """(key, pos, before, ...) of each line: the first `share`-th part of its words that may be the rarest common one, with
     their places and the words before them, and pairs of the most frequent words (place -1) with the frequent words up to the
-    second that are not of the pair."""
+    second that are not of the pair.
+
+    Pairs whose smaller line has more than LONG words meet by single words of any frequency, beside a class of their length,
+    as a long line has too many pairs of words; their keys name no words before.  The larger line, of up to DEN / NUM of the
+    words, belongs to its own class and to the one below.
+    """
     payload = "at", "n", "even", "odd", "open"
     often, told = F.lit(_from(OFTEN)), F.lit(_from(2))
     limit = F.expr(f"cast(n - ({share} * n + {share}) div {share + 1} + 1 as int)")
-    single = lines.select(*payload, "prefix", F.posexplode(F.slice("prefix", F.lit(1), limit)).alias("pos", "key")).where((F.col("key") >= told) & (F.col("key") < often))
+    words = F.posexplode(F.slice("prefix", F.lit(1), limit)).alias("pos", "key")
+    most = LONG * DEN // NUM if larger else LONG
+    short = lines.where(F.col("n") <= most)
+    single = short.select(*payload, "prefix", words).where((F.col("key") >= told) & (F.col("key") < often))
     single = single.select(*payload, "pos", "key", F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
     w = F.filter("prefix", lambda x: x >= often)
-    two = lines.select(*payload, w.alias("w")).where(F.size("w") > 1)
+    two = short.select(*payload, w.alias("w")).where(F.size("w") > 1)
     each = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b, j: F.struct(F.xxhash64(a, b).alias("key"), a.alias("a"), (i + j + 1).alias("upto")))))
     pairs = two.select(*payload, "w", F.lit(-1).alias("pos"), F.explode(each).alias("p"))
     pairs = pairs.select(*payload, "pos", F.col("p.key").alias("key"), F.array_remove(F.slice("w", F.lit(1), F.col("p.upto")), F.col("p.a")).alias("before"))
-    return single.unionByName(pairs)
+    class_ = F.floor(F.log("n") / math.log(DEN / NUM) + 1e-9).cast("int")
+    classes = F.array(class_, class_ - 1) if larger else F.array(class_)
+    long = lines.where(F.col("n") > LONG).select(*payload, classes.alias("classes"), words).where(F.col("key") >= told)
+    long = long.select(*payload, "pos", "key", F.explode("classes").alias("class"))
+    long = long.select(*payload, "pos", F.xxhash64("key", "class", F.lit(3)).alias("key"), F.array().cast("array<bigint>").alias("before"))
+    return single.unionByName(pairs).unionByName(long)
 
 
 def _with_all(lines: DataFrame) -> DataFrame:
     """Pairs (x, y) of an open line and any earlier line that pass the prefix, length, positional and parity filters.
 
-    Of a pair, the smaller set s needs its first n / 9 words only, the larger one, l, its first n / 5.  Two lines meet once,
-    at their first common word or pair of words, so no more words can be common than are left from there.
+    Of a pair, the smaller set s needs its first n / 9 words only, the larger one, l, its first n / 5.  Two short lines meet
+    once, at their first common word or pair of words, so no more words can be common than are left from there; long ones
+    may meet at several.
     """
-    s, l = (_keys(lines, share).select("key", *(F.col(c).alias(side + c) for c in ("at", "n", "pos", "before", "even", "odd", "open"))) for side, share in (("s", 2 * NUM), ("l", NUM)))
+    s, l = (_keys(lines, share, larger).select("key", *(F.col(c).alias(side + c) for c in ("at", "n", "pos", "before", "even", "odd", "open"))) for side, share, larger in (("s", 2 * NUM, False), ("l", NUM, True)))
     need = f"(({NUM} * (sn + ln) + {NUM + DEN - 1}) div {NUM + DEN})"
     length = f"(sn < ln or sn = ln and sat < lat) and {DEN} * sn >= {NUM} * ln"
     place = f"spos < sn - {need} + 1 and lpos < ln - {need} + 1 and least(sn - spos, ln - lpos) >= {need}"
