@@ -274,7 +274,8 @@ def test_changed_slots(spark, odd, none):
         3: item, 4: "Tom had apples.", 5: None, 6: "7 8 9 10 11 12 13 14",
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("slots", F.lit("clash"))
-    assert {(r.id, r.item) for r in decontaminate.find_items(df, items).collect()} == {(1, 1), (3, 1)}
+    assert {(r.id, r.item) for r in decontaminate.find_items(df, items, verbatim=False).collect()} == {(1, 1), (3, 1)}
+    assert {(r.id, r.item) for r in decontaminate.find_items(df, items).collect()} == {(1, 1), (3, 1), (6, 4)}
     assert decontaminate.find_items(odd, items).count() == 0
     assert decontaminate.find_items(none, items).count() == 0
     assert decontaminate.find_items(df, items.limit(0)).count() == 0
@@ -294,7 +295,7 @@ def test_short_items_in_longer_texts(spark, tmp_path):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 4), (9, 1)}
-    assert {(r.id, r.item) for r in decontaminate.find_items(df, tests).collect()} == want
+    assert {(r.id, r.item) for r in decontaminate.find_items(df, tests, verbatim=False).collect()} == want
     df.write.parquet(str(tmp_path / "documents.parquet"))
     tests.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()} == want
@@ -320,7 +321,7 @@ def test_items_of_placeholders(spark, docs, tmp_path):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = {(i, i) for i in items} | {(6, 1), (9, 4)}
-    found = decontaminate.find_items(df, tests, verbatim=True).collect()
+    found = decontaminate.find_items(df, tests).collect()
     assert {(r.id, r.item) for r in found} == want
     assert all(0.5 <= r.coverage <= 1 for r in found)
     df.write.parquet(str(tmp_path / "documents.parquet"))
@@ -522,10 +523,10 @@ def _gone(texts):
 
 
 def test_line_dedup(docs, odd, none):
-    got = {tuple(r) for r in lines.repeated_lines(docs).collect()}
+    got = {tuple(r) for r in lines.repeated_lines(docs, few=5).collect()}
     assert got == _gone(_texts(docs))
-    assert {tuple(r) for r in lines.repeated_lines(odd).collect()} == _gone(_texts(odd))
-    assert lines.repeated_lines(none).count() == 0
+    assert {tuple(r) for r in lines.repeated_lines(odd, few=5).collect()} == _gone(_texts(odd))
+    assert lines.repeated_lines(none).count() == 0 and lines.repeated_lines(none, few=5).count() == 0
 
 
 def test_line_dedup_in_families(spark):
@@ -542,7 +543,7 @@ def test_line_dedup_in_families(spark):
             own.append(" ".join(line))
         texts[i] = "\n".join(own)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    removed = lines.repeated_lines(df)
+    removed = lines.repeated_lines(df, few=5)
     want = _gone(texts)
     assert {tuple(r) for r in removed.collect()} == want
     kept = _texts(lines.remove_lines(df, removed))
@@ -562,14 +563,13 @@ def test_line_dedup_of_short_lines(spark, docs, odd, none, tmp_path):
     short = ["All rights reserved.", "一二三四五六七八", "a\tb\tc\td\te\tf", "x", "b a", "a b", "a  b", "a a b", "p q r s", "p q r s t", "p q r u", "p q r", "", " ", "\t", "      "]
     texts = {i: "\n".join(" ".join(rng.choices("abcdef", k=rng.randint(1, 6))) if rng.random() < 0.3 else rng.choice(short) for _ in range(5)) for i in range(60)} | {100: None}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    removed = lines.repeated_lines(df, few=0)
+    removed = lines.repeated_lines(df)
     want = _gone_of_any_length(texts)
     assert {tuple(r) for r in removed.collect()} == want
     assert not {(i, k) for i, k in want if not texts[i].split("\n")[k].strip()}
     some = docs.where("doc_id < 60")
-    assert {tuple(r) for r in lines.repeated_lines(some, few=0).collect()} == _gone_of_any_length(_texts(some))
-    assert {tuple(r) for r in lines.repeated_lines(odd, few=0).collect()} == _gone_of_any_length(_texts(odd))
-    assert lines.repeated_lines(none, few=0).count() == 0
+    assert {tuple(r) for r in lines.repeated_lines(some).collect()} == _gone_of_any_length(_texts(some))
+    assert {tuple(r) for r in lines.repeated_lines(odd).collect()} == _gone_of_any_length(_texts(odd))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, int(k)) for r in lines.op10_line_dedup(spark, str(tmp_path)).collect() for k in r.removed_lines.split(",") if k}
     assert got == want

@@ -162,7 +162,7 @@ def _window_rows(only: bitmaps.Sketch | None, lengths: list[int] | None, verbati
 _SCHEMA = "id long, h long, pos long, slots array<long>, size int, raw boolean, rich boolean"
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER, verbatim: bool = False) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cover: float = COVER, verbatim: bool = True) -> DataFrame:
     """(id, item, matched, windows, coverage): every benchmark item found in a text, one row for each pair.
 
     Null and empty texts or items have no windows and never match.  Only with `verbatim`, as the

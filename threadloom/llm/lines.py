@@ -36,7 +36,6 @@ from .common import cut, drop, free_shuffles, table
 
 #: Overlap of at least NUM / DEN.
 NUM, DEN = 4, 5
-FEW = 5
 #: Sets of n and n + 1 words can match only if n (DEN - NUM) >= NUM; below that, only equal sets do.
 ALONE = (NUM - 1) // (DEN - NUM)
 #: Slots of the word counts; 1 MB whatever the size of the corpus.
@@ -222,10 +221,10 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return later
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 0) -> DataFrame:
     """(doc, line_no) of every line to remove.
 
-    Lines of fewer than `few` space-separated fields stay; with 0, as the queries have it, all but blank lines take part.
+    All but blank lines take part; with `few`, lines of fewer space-separated fields stay.
     Null texts have no lines.  Rows that share an id are one document and must hold one
     text; rows with a null id are left out.  Other columns, whatever their names, play no part.
     """
