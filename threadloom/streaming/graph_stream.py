@@ -2,7 +2,7 @@
 
 State of a conversation: one value of counters (messages, artifacts, nodes, edges, last turn) and a map with an entry for
 each entity.  A batch reads and writes the entries of the entities it mentions, not the map, so its cost does not grow
-with the conversation's history.  Items of a batch are sorted by turn; a turn at or before the last one seen is late and
+with the conversation's history.  Messages of a batch are sorted by turn; a turn at or before the last one seen is late and
 comes out as rows of kind `late`, one for each message, for recomputation.  What a task holds of a conversation is what one
 micro-batch has of it; maxFilesPerTrigger bounds that.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +23,10 @@ OUT = "kind string, conv_id long, seq long, id string, type string, subtype stri
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 _COUNTERS = "tasks long, artifacts long, nodes long, edges long, last_turn long, until long"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KINDS = pd.DataFrame(graph.KINDS, index=["type", "subtype", "relation"]).T
 
 
 class GraphBuilder(StatefulProcessor):
-    """Numbers the items of a conversation, batch by batch."""
+    """Numbers the messages of a conversation, batch by batch."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
@@ -39,30 +37,42 @@ class GraphBuilder(StatefulProcessor):
         self.entities = handle.getMapState("entities", "key string", "id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        items = pd.concat(list(rows), ignore_index=True).sort_values(["turn", "kind", "ord"], kind="stable", ignore_index=True)
-        tasks, artifacts, nodes, edges, last, until = self.counters.get() if self.counters.exists() else (0, 0, 0, 0, None, 0)
-        if last is not None:
-            late = items["turn"] <= last
-            told = items[late & (items["kind"] == 0)]
-            if len(told):
-                yield self._shaped(told.assign(out="late", content=None), key[0])
-            items = items[~late].reset_index(drop=True)
-        if len(items):
-            items, tasks, artifacts = self._numbered(items, tasks, artifacts)
-            new, linked = items["is_new"], (items["kind"] > 0) | (items["at"] > 0)
-            places = items.join(_KINDS, on="kind")
-            made = places[new].assign(out="node", seq=nodes + np.arange(new.sum()), relation=None)
-            made["role"] = made["role"].where(made["kind"] == 0, None)
-            joined = places[linked].assign(out="edge", seq=edges + np.arange(linked.sum()))
-            joined["source"] = "t" + np.where(joined["kind"] == 0, joined["at"] - 1, joined["at"]).astype(str).astype(object)
-            joined = joined.rename(columns={"id": "target"}).assign(type=None, subtype=None, role=None, language=None, content=None)
-            yield self._shaped(made, key[0])
-            yield self._shaped(joined, key[0])
-            nodes, edges, last = nodes + int(new.sum()), edges + int(linked.sum()), int(items["turn"].iloc[-1])
+        told = [(m.turn, m.role, m.items) for frame in rows for m in frame[["turn", "role", "items"]].itertuples(index=False, name="Message")]
+        known = self.counters.exists()
+        tasks, artifacts, nodes, edges, seen, _ = self.counters.get() if known else (0, 0, 0, 0, None, 0)
+        given: dict[str, str] = {}  # entities of this batch
+        last, out = seen, []
+        for turn, role, items in sorted(told, key=lambda m: m[0]):
+            role = role if isinstance(role, str) else None
+            if seen is not None and turn <= seen:
+                out.append(("late", key[0], None, None, None, None, role, None, None, None, None, None, turn))
+                continue
+            last, at, tasks = turn, tasks, tasks + 1
+            for item in items:
+                kind, name = item["kind"], item["key"]
+                type_, subtype, relation = graph.KINDS[kind]
+                id_ = f"t{at}" if kind == 0 else self._entity(name, given, known) if name is not None else None
+                if id_ is None:
+                    id_, artifacts = f"a{artifacts}", artifacts + 1
+                    if name is not None:
+                        given[name] = id_
+                        self.entities.updateValue((name,), (id_,))
+                    fresh = True
+                else:
+                    fresh = kind == 0
+                if fresh:
+                    out.append(("node", key[0], nodes, id_, type_, subtype, role if kind == 0 else None, item["language"], item["content"], None, None, None, turn))
+                    nodes += 1
+                if kind or at:
+                    source = f"t{at}" if kind else f"t{at - 1}"
+                    out.append(("edge", key[0], edges, None, None, None, None, None, None, source, id_, relation, turn))
+                    edges += 1
+        until = 0
         if self.idle_ms is not None:
             until = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(until)
         self.counters.update((tasks, artifacts, nodes, edges, last, until))
+        yield pd.DataFrame(out, columns=_COLUMNS, dtype=object).astype({"conv_id": "int64", "seq": "Int64", "turn": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Ends a conversation unless it had messages since this timer was set."""
@@ -74,28 +84,13 @@ class GraphBuilder(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _numbered(self, items: pd.DataFrame, tasks: int, artifacts: int) -> tuple[pd.DataFrame, int, int]:
-        """Items with at, is_new and id; entities that are new are written to the map."""
-        is_task, is_word = items["kind"] == 0, items["kind"] == 3
-        names = items.loc[is_word, "key"].drop_duplicates()
-        known = {n: self.entities.getValue((n,))[0] for n in names if self.entities.containsKey((n,))}
-        again = is_word & (items["key"].isin(list(known)) | items["key"].where(is_word).duplicated())
-        items["at"] = tasks + is_task.cumsum() - 1
-        items["is_new"] = ~again
-        number = artifacts + (~is_task & ~again).cumsum() - 1
-        items["id"] = np.where(is_task, "t" + items["at"].astype(str), "a" + number.astype(str))
-        fresh = items[is_word & ~again]
-        given = dict(zip(fresh["key"], fresh["id"], strict=True))
-        for name, id_ in given.items():
-            self.entities.updateValue((name,), (id_,))
-        items.loc[again, "id"] = items.loc[again, "key"].map(known | given)
-        return items, tasks + int(is_task.sum()), artifacts + int((~is_task & ~again).sum())
-
-    @staticmethod
-    def _shaped(rows: pd.DataFrame, conv_id) -> pd.DataFrame:
-        rows = rows.drop(columns="kind").rename(columns={"out": "kind"}).assign(conv_id=conv_id)
-        rows = rows.reindex(columns=_COLUMNS).astype(object)
-        return rows.where(rows.notna(), None).astype({"conv_id": "int64", "seq": "Int64", "turn": "int64"})
+    def _entity(self, name: str, given: dict[str, str], known: bool) -> str | None:
+        """The node of an entity met before, in this batch or, if the conversation is known, in its state."""
+        if name in given or not known:
+            return given.get(name)
+        if self.entities.containsKey((name,)):
+            given[name] = self.entities.getValue((name,))[0]
+        return given.get(name)
 
 
 def graph_stream(messages: DataFrame, idle: str | None = None) -> DataFrame:
@@ -106,8 +101,7 @@ def graph_stream(messages: DataFrame, idle: str | None = None) -> DataFrame:
     stays.  The session's state store must be RocksDB (`stream_session`).
     """
     idle_ms = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
-    items = graph.message_items(messages)
-    return items.groupBy("conv_id").transformWithStateInPandas(GraphBuilder(idle_ms), OUT, "append", "None" if idle is None else "ProcessingTime")
+    return graph.message_parts(messages).groupBy("conv_id").transformWithStateInPandas(GraphBuilder(idle_ms), OUT, "append", "None" if idle is None else "ProcessingTime")
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
