@@ -93,6 +93,17 @@ def test_nearest_odd_vectors(spark):
     assert sets[0] == () and len(set(sets)) == len(sets) and all(2 * 4 - 1 - j not in s for s in sets for j in s)
 
 
+def test_nearest_cuts_ties_by_id(spark):
+    """Many different vectors with one score: the smaller ids stay, whatever the blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, float(a), float(b)]) for i, (a, b) in enumerate(rng.integers(-900, 900, (400, 2)))]
+    rows.append((1000, [5.0, 0.0, 0.0]))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wide = neighbours.Hashing(3, k=1, width=1000.0, tables=2, probes=2)
+    got = [(r.vec_id, r.score) for r in neighbours.nearest(v, v.where("vec_id = 1000"), hashing=wide).orderBy("rank").collect()]
+    assert got == [(i, 5.0) for i in range(20)]
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -130,9 +130,12 @@ def _best(dims: int, results: int):
                 return
             scores = vectors[split:] @ vectors[:split].T
             few = min(results, split)
-            top = np.argpartition(-scores, few - 1, axis=1)[:, :few] if few < split else np.tile(np.arange(split), (len(scores), 1))
+            # all points that reach the few-th best score, with a margin for rounding: ties are cut by id, on exact scores
+            bar = -np.partition(-scores, few - 1, axis=1)[:, few - 1 : few]
+            reach = scores >= bar - 1e-9 * (1 + np.abs(bar))
             for row, q in enumerate(point[split:].tolist()):
-                ids, exact = point[:split][top[row]], np.einsum("ij,j->i", vectors[:split][top[row]], vectors[split + row])
+                top = np.flatnonzero(reach[row])
+                ids, exact = point[:split][top], np.einsum("ij,j->i", vectors[:split][top], vectors[split + row])
                 if q in best:
                     ids, exact = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], exact])
                     ids, first = np.unique(ids, return_index=True)
