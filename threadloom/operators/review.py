@@ -70,16 +70,24 @@ def text_label(text: Column) -> Column:
     kept = F.filter(found, lambda w: ~((F.length(w) <= 3) & (w == F.lower(w))))
     mixed = lambda w: w.rlike("[0-9_]") | (w.rlike("[a-z]") & w.rlike("[A-Z]"))
     points = lambda w: F.lit(5) + F.when(w.rlike("^[A-Z]"), 10).otherwise(0) + F.when(mixed(w), 15).otherwise(0) + F.least(F.length(w), F.lit(10))
-    scored = F.transform(kept, lambda w: F.struct(F.lower(w).alias("w"), points(w).alias("s")))
-    names = F.array_distinct(F.transform(kept, F.lower))
-
-    def total(w: Column) -> Column:
-        return F.aggregate(F.filter(scored, lambda x: x["w"] == w), F.lit(0), lambda a, x: a + x["s"])
-
-    ranked = F.array_sort(F.transform(names, lambda w, i: F.struct((-total(w)).alias("low"), i.alias("i"), w.alias("w"))))
-    best = F.transform(F.slice(ranked, 1, 2), lambda x: _raised(x["w"]))
+    # sorted by word, one pass sums each word's points and keeps the best two: totals and first places, ties to the earlier
+    scored = F.array_sort(F.transform(kept, lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("i"), points(w).alias("s"))))
+    entry = lambda s, i, w: F.struct(s.alias("s"), i.alias("i"), w.alias("w"))
+    none = entry(F.lit(-1), F.lit(0), F.lit(""))
+    state = lambda w, i, s, a, b: F.struct(w.alias("w"), i.alias("i"), s.alias("s"), a.alias("a"), b.alias("b"))
+    better = lambda x, y: (x["s"] > y["s"]) | ((x["s"] == y["s"]) & (x["i"] < y["i"]))
+
+    def best_two(t: Column) -> tuple[Column, Column]:
+        now = entry(t["s"], t["i"], t["w"])
+        return F.when(better(now, t["a"]), now).otherwise(t["a"]), F.when(better(now, t["a"]), t["a"]).when(better(now, t["b"]), now).otherwise(t["b"])
+
+    def step(t: Column, x: Column) -> Column:
+        more = state(t["w"], t["i"], t["s"] + x["s"], t["a"], t["b"])
+        return F.when(t["w"] == x["w"], more).otherwise(state(x["w"], x["i"], x["s"], *best_two(t)))
+
+    best = F.aggregate(scored, state(F.lit(""), F.lit(0), F.lit(-1), none, none), step, lambda t: F.filter(F.array(*best_two(t)), lambda e: e["s"] >= 0))
     plain = F.substring(F.array_join(F.slice(F.split(text, " "), 1, 2), " "), 1, 20)
-    return F.when(F.size(names) > 0, F.array_join(best, " ")).otherwise(plain)
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(best, lambda e: _raised(e["w"])), " ")).otherwise(plain)
 
 
 def url_label(url: Column) -> Column:
