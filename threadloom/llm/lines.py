@@ -168,8 +168,8 @@ def _keys(lines: DataFrame, share: int, larger: bool) -> DataFrame:
     second that are not of the pair.
 
     Pairs whose smaller line has more than LONG words meet by single words of any frequency, beside a class of their length,
-    as a long line has too many pairs of words; their keys name no words before.  The larger line, of up to DEN / NUM of the
-    words, belongs to its own class and to the one below.
+    as a long line has too many pairs of words; their keys name no words before.  The larger line has up to DEN / NUM of the
+    words, so the smaller one belongs to its own class and to the one above.
     """
     payload = "at", "n", "even", "odd", "open"
     often, told = F.lit(_from(OFTEN)), F.lit(_from(2))
@@ -185,7 +185,7 @@ def _keys(lines: DataFrame, share: int, larger: bool) -> DataFrame:
     pairs = two.select(*payload, "w", F.lit(-1).alias("pos"), F.explode(each).alias("p"))
     pairs = pairs.select(*payload, "pos", F.col("p.key").alias("key"), F.array_remove(F.slice("w", F.lit(1), F.col("p.upto")), F.col("p.a")).alias("before"))
     class_ = F.floor(F.log("n") / math.log(DEN / NUM) + 1e-9).cast("int")
-    classes = F.array(class_, class_ - 1) if larger else F.array(class_)
+    classes = F.array(class_) if larger else F.array(class_, class_ + 1)
     long = lines.where(F.col("n") > LONG).select(*payload, classes.alias("classes"), words).where(F.col("key") >= told)
     long = long.select(*payload, "pos", "key", F.explode("classes").alias("class"))
     long = long.select(*payload, "pos", F.xxhash64("key", "class", F.lit(3)).alias("key"), F.array().cast("array<bigint>").alias("before"))
