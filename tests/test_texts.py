@@ -153,6 +153,25 @@ def test_joins_rank_like_batches(spark):
     assert two == pytest.approx(one, abs=1e-9) and {k for k, _ in two} == {1, 2, 5}
 
 
+_MIXED = [(1, "spark joins partition data spark partition keys"), (2, "alone"), (3, None), (4, "shuffle keys before joins"), (4, "keys shuffle data"), (None, "spark keys"), (None, "keys joins")]
+
+
+def test_large_and_shared_texts_rank_by_joins(spark):
+    one = spark.createDataFrame([r for r in _MIXED if r[0] in (1, 2, 3)], "doc_id long, text string")
+    want = {(r.doc_id, r.stem): r.score for r in messages.textrank_scores(one, ("doc_id",), "text").collect()}
+    both = spark.createDataFrame([r for r in _MIXED if r[0]], "doc_id long, text string")
+    got = {(r.doc_id, r.stem): r.score for r in messages.textrank_by_joins(both, ("doc_id",), "text", large=10).collect()}
+    assert {k: v for k, v in got.items() if k[0] != 4} == pytest.approx(want, abs=1e-9) and {k for k, _ in got} == {1, 2, 4}
+
+
+def test_small_texts_rank_without_rounds(spark):
+    df = spark.createDataFrame([r for r in _MIXED if r[0] in (1, 2, 3)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("rank", "rank")
+    messages.textrank_by_joins(df, ("doc_id",), "text").collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rank")) < 10
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["ab", "cd", "ef", "gh", "ij", "kl", "mn"]), max_size=30))
 def test_phrases_follow_a_walk(stems):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.porter import stem_words
-from ..functions.rank import DAMPING, ROUNDS, SETTLED, TOP, WINDOW, keyword_phrases, rank_stems
+from ..functions.rank import DAMPING, ROUNDS, SETTLED, TOP, WINDOW, keyword_phrases, pair_rows, rank_stems
 from ..sources.stored import stored
 
 KEY = ("conv_id", "turn")
+#: Bytes of a text that is ranked by joins.
+LARGE = 1 << 20
 
 
 def explode_list(df: DataFrame, items: Column, names: tuple[str, ...], key=KEY, at: str = "ord") -> DataFrame:
@@ -52,6 +54,15 @@ def vocabulary_stems(df: DataFrame, text: str = "content") -> DataFrame:
     return found.select("word", stem_words(F.array("word"))[0].alias("stem"))
 
 
+def _repeated(df: DataFrame, key) -> tuple[DataFrame, Column]:
+    """(table of the keys that several rows share, condition that a row's key is one of them); only keys are read."""
+    many = df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return many, same
+
+
 def _near_pairs(stems: Column, window: int) -> Column:
     """array<struct<src, dst>> of different stems less than `window` places apart, both ways, made inside the row."""
     n = F.size(stems)
@@ -66,20 +77,30 @@ def cooccurrence(df: DataFrame, key=KEY, text: str = "content", window: int = WI
     return pairs.groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
 
 
-def textrank_by_joins(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
-    """The scores of `textrank_scores` by joins over the co-occurrence table, so that one text may have any number of stems.
+def textrank_by_joins(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW, large: int = LARGE) -> DataFrame:
+    """The scores of `textrank_scores`, for texts of any size: those of `large` bytes or more, and rows that share a key and
+    so are one text, are ranked by joins over the co-occurrence table, all others inside their row.
 
     A round joins scores with the shares of their neighbours and sums them up by target; a text whose scores have all
     moved less than SETTLED is frozen.  Every round is stored, so that lineage does not grow; rounds end when all texts
     are frozen, or after ROUNDS.
     """
     key = list(key)
-    found = stored(with_tokens(df, key, text).where(F.size("stems") > 0))
-    pairs = found.select(*key, F.explode(_near_pairs(F.col("stems"), window)).alias("p")).groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
-    pairs = stored(pairs)
+    many, same = _repeated(df, key)
+    is_large = F.coalesce(F.octet_length(text) >= large, F.lit(False))
+    split, whole = df.where(is_large), df.where(~is_large)
+    if not many.isEmpty():
+        split, whole = split.join(many, same, "left_anti").unionByName(df.join(many, same, "left_semi")), whole.join(many, same, "left_anti")
+    ranked = textrank_scores(whole, key, text, window)
+    return ranked if split.isEmpty() else ranked.union(_ranked_by_joins(split, key, text, window))
+
+
+def _ranked_by_joins(df: DataFrame, key: list[str], text: str, window: int) -> DataFrame:
+    found = stored(with_tokens(df, key, text).where(F.size("stems") > 0).select(*key, "stems"))
+    pairs = stored(pair_rows(found, window).groupBy(*key, "src", "dst").agg(F.sum("weight").alias("weight")))
     out = pairs.groupBy(*key, "src").agg(F.sum("weight").alias("out"))
     share = stored(pairs.join(out, [*key, "src"]).select(*key, F.col("src").alias("stem"), "dst", (F.col("weight") / F.col("out")).alias("share")))
-    vertices = found.select(*key, F.explode(F.array_distinct("stems")).alias("stem"))
+    vertices = found.select(*key, F.explode(F.array_distinct("stems")).alias("stem")).distinct()
     done, now = None, vertices.withColumn("score", F.lit(1.0))
     for left in range(ROUNDS - 1, -1, -1):
         sums = share.join(now, [*key, "stem"]).groupBy(*key, F.col("dst").alias("stem")).agg(F.sum(F.col("score") * F.col("share")).alias("sum"))
