@@ -172,6 +172,34 @@ def test_small_texts_rank_without_rounds(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rank")) < 10
 
 
+def test_cooccurrence_is_counted_in_rows(spark):
+    rows = spark.createDataFrame(_MIXED, "doc_id long, text string")
+    want = {}
+    for doc, text in _MIXED:
+        stems = [porter.stem(w) for w in (text or "").split() if w != "before"]
+        for i, d in ((i, d) for d in (1, 2) for i in range(len(stems) - d)):
+            for pair in ((stems[i], stems[i + d]), (stems[i + d], stems[i])):
+                if pair[0] != pair[1]:
+                    want[doc, *pair] = want.get((doc, *pair), 0) + 1
+    got = messages.cooccurrence(rows, ("doc_id",), "text").collect()
+    assert {(r.doc_id, r.src, r.dst): r.weight for r in got} == want and len(got) == len(want)
+    plan = messages.cooccurrence(rows.where("doc_id < 4"), ("doc_id",), "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_stems_and_ranks_share_a_worker(spark):
+    df = spark.createDataFrame([(1, 0, "user", "spark joins")], "conv_id long, turn long, role string, content string")
+    for made in (graph.message_parts(df), messages.keywords(df), messages.textrank_scores(df)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert rank.WORDS <= 1 << 15 and porter.stem.cache_info().maxsize <= 1 << 16
+
+
+def test_pages_are_read_in_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([None] * 1000, pa.string())], ["a", "b"])
+    parts = list(page_source._parts(batch))
+    assert max(map(len, parts)) <= page_source.PART and [r for p in parts for r in p] == [(i, None) for i in range(1000)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["ab", "cd", "ef", "gh", "ij", "kl", "mn"]), max_size=30))
 def test_phrases_follow_a_walk(stems):

@@ -38,10 +38,9 @@ def bold_terms(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
     return explode_list(df, texts.bold_terms(text), ("term",), key)
 
 
-def with_tokens(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
-    """Key columns and the in-row arrays word and stem."""
-    kept = df.select(*key, texts.tokens(text).alias("t"))
-    return kept.select(*key, F.col("t.word").alias("words"), F.col("t.stem").alias("stems"))
+def with_words(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
+    """Key columns and the in-row array words."""
+    return df.select(*key, texts.words(text).alias("words"))
 
 
 def tokens(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
@@ -63,18 +62,17 @@ def _repeated(df: DataFrame, key) -> tuple[DataFrame, Column]:
     return many, same
 
 
-def _near_pairs(stems: Column, window: int) -> Column:
-    """array<struct<src, dst>> of different stems less than `window` places apart, both ways, made inside the row."""
-    n = F.size(stems)
-    apart = [F.arrays_zip(F.slice(stems, F.lit(1), F.greatest(n - d, F.lit(0))).alias("src"), F.slice(stems, F.lit(1 + d), F.greatest(n - d, F.lit(0))).alias("dst")) for d in range(1, window)]
-    one = F.filter(F.concat(*apart), lambda p: p["src"] != p["dst"])
-    return F.concat(one, F.transform(one, lambda p: F.struct(p["dst"].alias("src"), p["src"].alias("dst"))))
-
-
 def cooccurrence(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
-    """Directed weights of pairs of different stems less than `window` places apart."""
-    pairs = with_tokens(df, key, text).select(*key, F.explode(_near_pairs(F.col("stems"), window)).alias("p"))
-    return pairs.groupBy(*key, "p.src", "p.dst").agg(F.count("*").alias("weight"))
+    """Directed weights of pairs of different stems less than `window` places apart.
+
+    Pairs are counted inside the row; only those of rows that share a key are added up.
+    """
+    counted = lambda rows: pair_rows(with_words(rows, key, text), window)
+    many, same = _repeated(df, key)
+    if many.isEmpty():
+        return counted(df)
+    again = counted(df.join(many, same, "left_semi")).groupBy(*key, "src", "dst").agg(F.sum("weight").alias("weight"))
+    return counted(df.join(many, same, "left_anti")).union(again)
 
 
 def textrank_by_joins(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW, large: int = LARGE) -> DataFrame:
@@ -96,8 +94,8 @@ def textrank_by_joins(df: DataFrame, key=KEY, text: str = "content", window: int
 
 
 def _ranked_by_joins(df: DataFrame, key: list[str], text: str, window: int) -> DataFrame:
-    found = stored(with_tokens(df, key, text).where(F.size("stems") > 0).select(*key, "stems"))
-    pairs = stored(pair_rows(found, window).groupBy(*key, "src", "dst").agg(F.sum("weight").alias("weight")))
+    found = stored(df.select(*key, texts.tokens(text).getField("stem").alias("stems")))
+    pairs = stored(pair_rows(with_words(df, key, text), window).groupBy(*key, "src", "dst").agg(F.sum("weight").alias("weight")))
     out = pairs.groupBy(*key, "src").agg(F.sum("weight").alias("out"))
     share = stored(pairs.join(out, [*key, "src"]).select(*key, F.col("src").alias("stem"), "dst", (F.col("weight") / F.col("out")).alias("share")))
     vertices = found.select(*key, F.explode(F.array_distinct("stems")).alias("stem")).distinct()
@@ -119,13 +117,13 @@ def _ranked_by_joins(df: DataFrame, key: list[str], text: str, window: int) -> D
 
 def textrank_scores(df: DataFrame, key=KEY, text: str = "content", window: int = WINDOW) -> DataFrame:
     """(key, stem, score); a text is ranked inside its row, in one task (`textrank_by_joins` spreads giant ones)."""
-    ranked = with_tokens(df, key, text).select(*key, rank_stems("stems", window).alias("all")).select(*key, F.explode("all").alias("r"))
+    ranked = with_words(df, key, text).select(*key, rank_stems("words", window).alias("all")).select(*key, F.explode("all").alias("r"))
     return ranked.select(*key, "r.stem", "r.score")
 
 
 def top_stems(df: DataFrame, key=KEY, text: str = "content", top: int = TOP) -> DataFrame:
     """The best stems of each message; ties go to the smaller stem.  Ranked inside the row, without a shuffle."""
-    ranked = with_tokens(df, key, text).select(*key, rank_stems("stems").alias("r"))
+    ranked = with_words(df, key, text).select(*key, rank_stems("words").alias("r"))
     order = F.array_sort(F.transform("r", lambda x: F.struct((-F.round(x.getField("score"), 9)).alias("low"), x.getField("stem").alias("stem"))))
     return explode_list(ranked.withColumn("best", F.slice(order, 1, top).getField("stem")), F.col("best"), ("stem",), key, "rank")
 
@@ -140,7 +138,7 @@ def surface_forms(df: DataFrame, key=KEY, text: str = "content") -> DataFrame:
 
 def keyword_phrases_of(df: DataFrame, key=KEY, text: str = "content", top: int = TOP, window: int = WINDOW) -> DataFrame:
     """Key columns and the in-row array keywords of struct<phrase, key>."""
-    return with_tokens(df, key, text).select(*key, keyword_phrases("words", "stems", top, window).alias("keywords"))
+    return with_words(df, key, text).select(*key, keyword_phrases("words", top, window).alias("keywords"))
 
 
 def keywords(df: DataFrame, key=KEY, text: str = "content", top: int = TOP, window: int = WINDOW) -> DataFrame:
