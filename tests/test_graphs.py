@@ -205,3 +205,7 @@ def test_null_content_keeps_its_message(spark):
     tasks = {r.id: r.content for r in graph.nodes_of(items).where("type = 'task'").collect()}
     assert tasks == {"t0": "partition data", "t1": "", "t2": "thanks"}
     assert graph.edges_of(items).where("relation = 'sequence'").count() == 2
+
+
+def test_stream_session_hands_over_few_rows(spark):
+    assert int(graph_stream.stream_session(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

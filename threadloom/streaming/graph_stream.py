@@ -22,6 +22,8 @@ from ..sources.stored import work_folder
 OUT = "kind string, conv_id long, seq long, id string, type string, subtype string, role string, language string, content string, source string, target string, relation string, turn long"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 _COUNTERS = "tasks long, artifacts long, nodes long, edges long, last_turn long, until long"
+#: Messages that a worker of a stream holds as Python values at once.
+ROWS = 1000
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,7 +107,8 @@ def graph_stream(messages: DataFrame, idle: str | None = None) -> DataFrame:
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep state in RocksDB; other settings as in `spark`.
+    """A session of the same application whose streams keep state in RocksDB and hand ROWS messages at a time to Python; other
+    settings as in `spark`.
 
     It makes no batches without data: runs over what is there would never end, as timers may always be due later.
     """
@@ -113,6 +116,7 @@ def stream_session(spark: SparkSession) -> SparkSession:
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         if (value := spark.conf.get(name, None)) is not None:
             session.conf.set(name, value)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return session
