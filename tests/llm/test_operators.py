@@ -195,6 +195,20 @@ def test_near_duplicates_in_families(spark):
     assert {r.doc_id: r["class"] for r in neardup.near_duplicates(df).collect()} == _classes(texts)
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_elements_are_counted_before_they_meet(monkeypatch, most):
+    monkeypatch.setattr(neardup, "COUNTED", most)
+    lists = [[1, 2, 3], [], [2, 3, 4], [3, 9], []]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array(lists, pa.list_(pa.int64()))], ["doc", "elements"])
+    rows = [r for b in neardup._counted([batch]) for r in b.to_pylist()]
+    total, first = {}, {}
+    for r in rows:
+        total[r["e"]] = total.get(r["e"], 0) + r["c"]
+        first[r["e"]] = min(r["doc"], first.get(r["e"], 99))
+    assert total == {1: 1, 2: 2, 3: 3, 4: 1, 9: 1} and first == {1: 10, 2: 10, 3: 10, 4: 12, 9: 13}
+    assert most < 8 or len(rows) == 5
+
+
 def test_near_duplicates_odd(odd, none):
     got = {r.doc_id: r["class"] for r in neardup.near_duplicates(odd).collect()}
     assert got == _classes(_texts(odd))

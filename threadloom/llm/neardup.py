@@ -47,6 +47,8 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 #: Bits of the slots of the shingle counts; 4 MB whatever the size of the corpus.
 SLOT_BITS = 22
+#: Elements that are counted together before they meet the others.
+COUNTED = 1 << 20
 
 _U = np.uint64
 _TINY = 2.0**-54
@@ -153,6 +155,22 @@ def _elements(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(bounds), _long(values))], ["doc", "elements"])
 
 
+def _counted(batches):
+    """(e, c, doc): the different elements of about COUNTED together, how often each occurs, and its first text; so copies of
+    a text that stand together are one set of rows."""
+    for batch in batches:
+        lists = batch.column("elements")
+        ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COUNTED, side="right")))
+            part = lists.slice(a, b - a)
+            e, at, c = np.unique(part.flatten().to_numpy(), return_index=True, return_counts=True)
+            row = a + np.searchsorted(ends[a:b] - (ends[a - 1] if a else 0), at, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(c, pa.int64()), batch.column("doc").take(pa.array(row))], ["e", "c", "doc"])
+            a = b
+
+
 def _verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """pairs(a, b) with the exact sums of minima, i, and of maxima less that, d."""
     left = elements.select(F.col("doc").alias("a"), F.col("elements").alias("ea"))
@@ -223,8 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _sizes(elements: DataFrame) -> DataFrame:
     """(doc, n, r): shingles of each text, and those of them that another text has, too."""
-    each = elements.select("doc", F.explode("elements").alias("e"))
-    own = each.groupBy("e").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
+    own = elements.mapInArrow(_counted, "e long, c long, doc long").groupBy("e").agg(F.sum("c").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("u"))
     return elements.select("doc", F.size("elements").alias("n")).join(own, "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("r"))
 
 
