@@ -209,6 +209,15 @@ def test_elements_are_counted_before_they_meet(monkeypatch, most):
     assert most < 8 or len(rows) == 5
 
 
+def test_slots_of_near_copies_are_counted_without_a_row_for_each_element(spark):
+    lists = [(i, [-5, 3, 1 << 60, i + 100]) for i in range(300)]
+    counts = neardup._slot_counts(spark.createDataFrame(lists, "doc long, elements array<long>").coalesce(1))
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    shift = 64 - neardup.SLOT_BITS
+    want = Counter((e & (1 << 64) - 1) >> shift for _, es in lists for e in es)
+    assert {r.slot: r.n for r in counts.collect()} == want
+
+
 def test_near_duplicates_odd(odd, none):
     got = {r.doc_id: r["class"] for r in neardup.near_duplicates(odd).collect()}
     assert got == _classes(_texts(odd))

@@ -264,11 +264,16 @@ def _pivot_pairs(work: DataFrame) -> DataFrame:
     return best.select("doc", F.explode(F.slice("best.pivot", 1, PIVOTS)).alias("pivot")).select(*_ordered("doc", "pivot")).distinct()
 
 
+def _slot_counts(texts: DataFrame) -> DataFrame:
+    """(slot, n): the elements of each hash slot, counted in their tasks first, so that near copies are one set of rows."""
+    slot = F.shiftrightunsigned("e", 64 - SLOT_BITS).cast("int").alias("slot")
+    return texts.mapInArrow(_counted, "e long, c long, doc long").groupBy(slot).agg(F.sum("c").alias("n"))
+
+
 def _rarity(texts: DataFrame) -> Broadcast:
     """A class for each hash slot, twice the logarithm of its count over all elements; 0 for one element or none."""
-    each = texts.select(F.explode("elements").alias("e")).select(F.shiftrightunsigned("e", 64 - SLOT_BITS).cast("int").alias("slot"))
     level = F.floor(F.log2(F.col("n").cast("double")) * 2).cast("byte")
-    found = each.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot", level.alias("level")).toArrow()
+    found = _slot_counts(texts).where("n > 1").select("slot", level.alias("level")).toArrow()
     classes = np.zeros(1 << SLOT_BITS, np.int8)
     classes[found["slot"].to_numpy()] = found["level"].to_numpy()
     return texts.sparkSession.sparkContext.broadcast(classes)
