@@ -297,6 +297,32 @@ def test_repeats_of_documents(docs, odd, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_repeats_store_only_what_is_shared(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SKETCH_BITS", 3, raising=False)  # a sketch of fixed size is full over a large table
+    rng, rows, cut = random.Random(7), [], suffixes.cut
+
+    def counted(df):
+        stored = cut(df)
+        rows.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(suffixes, "cut", counted)
+    texts = {i: "".join(rng.choice("abcdefgh") for _ in range(2000)) for i in range(40)}
+    texts[30] = texts[30][:700] + texts[5][300:420] + texts[30][700:]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert _removed(df) == _repeats(texts)
+    assert 0 < max(rows) < 200  # 40 texts hold some 5,800 samples
+
+
+def test_repeats_of_many_documents_at_once(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, head = letters(150), letters(90)
+    texts = {i: letters(40) + line + (letters(60) + head if i % 3 else "") + letters(70) for i in range(-20, 60)}
+    texts |= {100: texts[3], 101: texts[3], 102: line, 103: texts[59]}
+    assert _removed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == _repeats(texts)
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 

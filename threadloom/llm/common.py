@@ -46,7 +46,18 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored_bytes(stored: DataFrame) -> int:
+    """Size of the files of a table made by `cut`."""
+    context = stored.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of finished phases; call it after `cut` when the phase wrote much."""
+    """Lets Spark's cleaner delete shuffle files of finished phases; call it after `cut` when the phase wrote much.
+
+    Spark's listeners keep the last finished query until another one ends, so an empty one is run first.
+    """
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
